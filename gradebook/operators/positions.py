@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradebook.sources.checkpoints import checkpointed
 from gradebook.sources.tables import checked_broadcast
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; fall back to a scratch folder in local mode only."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="gradebook-checkpoint-")
-    context.setCheckpointDir(configured)
-
-
 def number_within(df: DataFrame, group: str, order: Sequence[Column], position: str) -> DataFrame:
     """``row_number() over (partition by group order by order)`` without one task per group.
 
@@ -34,20 +21,16 @@ def number_within(df: DataFrame, group: str, order: Sequence[Column], position:
     number. The placed rows are checkpointed because block sizes and row places
     must come from the same partitioning, also after a task is run again.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(group), *order]
-    placed = (
+    placed = checkpointed(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         .withColumn("_place", F.monotonically_increasing_id())
-        .withColumn("_task", F.shiftright("_place", 33))
-        .checkpoint()
-    )
+        .withColumn("_task", F.shiftright("_place", 33)))
     blocks = placed.groupBy(group, "_task").agg(F.min("_place").alias("_first"), F.count("*").alias("_size"))
     earlier = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = blocks.select(
+    shifts = checkpointed(blocks.select(
         group, "_task",
-        (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")
-    ).checkpoint()
+        (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")))
     return (
         placed.join(checked_broadcast(shifts), [group, "_task"])
         .withColumn(position, F.col("_place") + F.col("_shift"))

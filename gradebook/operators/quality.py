@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradebook.functions.scores import ASSESSMENT_WEIGHT_CAP, FINAL_EXAM_WEIGHT, TOTAL_WEIGHT_CAP
 from gradebook.operators.aggregates import weights_per_course
 from gradebook.operators.keyed import first_per_key, top_per_key
+from gradebook.sources.checkpoints import checkpointed
 from gradebook.sources.tables import Gradebook, checked_broadcast
 
 # Messages of the rules.
@@ -44,12 +45,12 @@ def check_weights(
         .when(F.col("id").isNotNull() & F.col("_last").isNull(), "Superseded by a later change.")
     )
     rows = inserts.unionByName(edits, allowMissingColumns=True).withColumn("reason", reason)
-    open_rows = rows.where("reason IS NULL").select(
+    open_rows = checkpointed(rows.where("reason IS NULL").select(
         "seq", "course_id", F.col("delta").cast("bigint").alias("delta"),
-        F.coalesce("_moves", F.lit(False)).alias("moves"))
+        F.coalesce("_moves", F.lit(False)).alias("moves")))
 
     base = assessments.groupBy("course_id").agg(F.sum("weight").alias("current"))
-    in_place = _accept_in_order(open_rows.where("NOT moves"), base, cap)
+    in_place = checkpointed(_accept_in_order(open_rows.where("NOT moves"), base, cap))
     grown = base.unionByName(in_place.select("course_id", F.col("delta").alias("current")))
     grown = grown.groupBy("course_id").agg(F.sum("current").alias("current"))
     moved = _accept_in_order(open_rows.where("moves"), grown, cap)
@@ -94,8 +95,8 @@ def _accept_in_order(rows: DataFrame, base: DataFrame, cap: int) -> DataFrame:
         return F.when(grown <= cap, F.struct(
             grown.alias("weight"), F.array_append(state["taken"], change).alias("taken"))).otherwise(state)
 
-    taken = queue.join(base, "course_id", "left").select(
-        "course_id", F.inline(F.aggregate("queue", start, step, lambda state: state["taken"])))
+    taken = checkpointed(queue.join(base, "course_id", "left").select(
+        "course_id", F.inline(F.aggregate("queue", start, step, lambda state: state["taken"]))))
     neutral = placed.where("delta = 0").join(
         taken.where("delta = 0").select("course_id", "stretch"), ["course_id", "stretch"], "left_semi")
     return taken.where("delta <> 0").select("seq", "course_id", "delta").unionByName(
