@@ -1,9 +1,9 @@
 """Batches of changes applied to a table.
 
-Each function is pure: (base, changes) -> new base, computed lazily. Changes
-carry ``seq``, their order of arrival, and are first reduced per key. The base
-is joined to the batch from the left, and key tests first cut the base down to
-the batch's keys, so a batch small enough to broadcast never shuffles the table.
+Each function is pure: (base, changes) -> new base. Changes carry ``seq``, their
+order of arrival, and are first reduced per key. A batch that is shown to be
+small is broadcast, so the table is not shuffled; a larger one meets the table
+in a single shuffle on the key.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gradebook.operators.joins import already_present
 from gradebook.operators.keyed import first_per_key, last_per_key
+from gradebook.sources.tables import BROADCAST_ROWS, checked_broadcast, has_at_most
 
 
 def row_id(*parts: Column) -> Column:
@@ -32,22 +33,26 @@ def _with_values(rows: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     return rows.withColumns(dict(values)) if values else rows
 
 
-def _overwrite(base: DataFrame, latest: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
-    """Set the ``values`` columns where ``latest`` (unique keys) has the row's key; NULLs overwrite too."""
-    hit = latest.select(
-        *keys, F.lit(True).alias("_hit"), *[value.alias(f"_new_{name}") for name, value in values.items()])
-    joined = base.join(hit, list(keys), "left")
-    return joined.select(*[
-        F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
+def _taken_over(base: DataFrame, values: Mapping[str, Column], hit: str = "_hit") -> list[Column]:
+    """The base's columns, those in ``values`` from the change where there is one; NULLs overwrite too."""
+    return [
+        F.when(F.col(hit), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
         for c in base.columns
-    ])
+    ]
+
+
+def _as_hits(latest: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    return latest.select(
+        *keys, F.lit(True).alias("_hit"), *[value.alias(f"_new_{name}") for name, value in values.items()])
 
 
 def update(base: DataFrame, changes: DataFrame, key: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Overwrite ``columns`` of the rows whose key is in the batch."""
     keys = [key] if isinstance(key, str) else list(key)
     latest = last_per_key(changes.select("seq", *keys, *columns), keys)
-    return _overwrite(base, latest, keys, {c: F.col(c) for c in columns})
+    values = {c: F.col(c) for c in columns}
+    hits = checked_broadcast(_as_hits(latest, keys, values))
+    return base.join(hits, keys, "left").select(*_taken_over(base, values))
 
 
 def upsert(
@@ -63,11 +68,21 @@ def upsert(
     ``defaults`` fill other columns of inserted rows; ``stamps`` are set on both
     when the base has the column.
     """
+    keys = list(keys)
     stamps = {c: v for c, v in (stamps or {}).items() if c in base.columns}
     latest = last_per_key(changes.select("seq", *keys, *columns), keys)
-    updated = _overwrite(base, latest, keys, {**{c: F.col(c) for c in columns}, **stamps})
-    _, fresh = already_present(latest, base, list(keys))
-    return append(updated, _with_values(fresh, {**(defaults or {}), **stamps}))
+    values = {**{c: F.col(c) for c in columns}, **stamps}
+    inserts = {**(defaults or {}), **stamps}
+    hits = _as_hits(latest, keys, values)
+    if has_at_most(changes.select(*keys), BROADCAST_ROWS):
+        updated = base.join(F.broadcast(hits), keys, "left").select(*_taken_over(base, values))
+        _, fresh = already_present(latest, base, keys, small=True)
+        return append(updated, _with_values(fresh, inserts))
+    both = base.withColumn("_stored", F.lit(True)).join(hits, keys, "full")
+    fresh_columns = {
+        c: F.when(F.col("_stored").isNull(), v).otherwise(F.col(c))
+        for c, v in inserts.items() if c in base.columns and c not in values}
+    return both.withColumns(fresh_columns).select(*_taken_over(base, values))
 
 
 def insert_ignore(
@@ -103,6 +118,7 @@ def delete(base: DataFrame, requests: DataFrame, keys: str | Sequence[str]) -> t
     """Remove the rows whose key is requested; also report per requested key whether a row matched."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     wanted = requests.select(*keys).distinct()
-    found = base.select(*keys).join(wanted, keys, "left_semi").distinct().withColumn("_found", F.lit(True))
+    side = checked_broadcast(wanted)
+    found = base.select(*keys).join(side, keys, "left_semi").distinct().withColumn("_found", F.lit(True))
     outcome = wanted.join(found, keys, "left").select(*keys, F.col("_found").isNotNull().alias("success"))
-    return base.join(wanted, keys, "left_anti"), outcome
+    return base.join(side, keys, "left_anti"), outcome

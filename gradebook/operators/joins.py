@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradebook.sources.tables import Gradebook
+from gradebook.sources.tables import BROADCAST_ROWS, Gradebook, has_at_most
 
 
 def courses_of(db: Gradebook, *columns: str) -> DataFrame:
@@ -163,13 +163,15 @@ def remark_history(db: Gradebook, ordered: bool = True) -> DataFrame:
 
 
 def already_present(
-    changes: DataFrame, base: DataFrame, keys: list[str]
+    changes: DataFrame, base: DataFrame, keys: list[str], small: bool | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Changes whose key exists in ``base``, and those whose key does not.
 
-    The base is first reduced to the keys of the batch, so a small batch never
-    shuffles the table.
+    A small batch is broadcast to cut the base down to the batch's keys first, so
+    the table is not shuffled. ``small`` tells what the caller already counted.
     """
-    wanted = changes.select(*keys).distinct()
-    existing = base.select(*keys).join(wanted, keys, "left_semi")
-    return changes.join(existing, keys, "left_semi"), changes.join(existing, keys, "left_anti")
+    stored = base.select(*keys)
+    wanted = changes.select(*keys)
+    if has_at_most(wanted, BROADCAST_ROWS) if small is None else small:
+        stored = stored.join(F.broadcast(wanted.distinct()), keys, "left_semi")
+    return changes.join(stored, keys, "left_semi"), changes.join(stored, keys, "left_anti")

@@ -53,7 +53,7 @@ def check_weights(
     in_place = checkpointed(_accept_in_order(open_rows.where("NOT moves"), base, cap))
     grown = base.unionByName(in_place.select("course_id", F.col("delta").alias("current")))
     grown = grown.groupBy("course_id").agg(F.sum("current").alias("current"))
-    moved = _accept_in_order(open_rows.where("moves"), grown, cap)
+    moved = _accept_in_order(open_rows.where("moves"), grown, cap, decreases=False)
 
     accepted = in_place.unionByName(moved).select("course_id", "seq", F.lit(True).alias("_accepted"))
     return rows.join(accepted, ["course_id", "seq"], "left").select(
@@ -62,7 +62,7 @@ def check_weights(
         F.coalesce("reason", F.when(F.col("_accepted").isNull(), WEIGHT_EXCEEDED)).alias("reason"))
 
 
-def _accept_in_order(rows: DataFrame, base: DataFrame, cap: int) -> DataFrame:
+def _accept_in_order(rows: DataFrame, base: DataFrame, cap: int, decreases: bool = True) -> DataFrame:
     """The (seq, course_id, delta) rows that a one-by-one check against ``cap`` accepts.
 
     Between two decreases the free room of a course only shrinks. So in such a
@@ -73,10 +73,13 @@ def _accept_in_order(rows: DataFrame, base: DataFrame, cap: int) -> DataFrame:
     one course receives, and these are folded in order. Decreases are edits, at
     most one per stored assessment.
     """
-    drops = rows.where("delta < 0").groupBy("course_id").agg(F.collect_list("seq").alias("_drops"))
-    stretch = F.coalesce(F.size(F.filter("_drops", lambda s: s < F.col("seq"))), F.lit(0))
-    placed = rows.join(checked_broadcast(drops), "course_id", "left").withColumn(
-        "stretch", F.when(F.col("_drops").isNull(), 0).otherwise(stretch)).drop("_drops")
+    if decreases:
+        drops = rows.where("delta < 0").groupBy("course_id").agg(F.collect_list("seq").alias("_drops"))
+        before = F.size(F.filter("_drops", lambda s: s < F.col("seq")))
+        placed = rows.join(checked_broadcast(drops), "course_id", "left").withColumn(
+            "stretch", F.when(F.col("_drops").isNull(), 0).otherwise(before)).drop("_drops")
+    else:
+        placed = rows.withColumn("stretch", F.lit(0))
 
     fits = F.when(F.col("delta") == 0, 1).otherwise(F.floor(F.lit(cap) / F.col("delta")))
     increases = top_per_key(
@@ -98,7 +101,8 @@ def _accept_in_order(rows: DataFrame, base: DataFrame, cap: int) -> DataFrame:
     taken = checkpointed(queue.join(base, "course_id", "left").select(
         "course_id", F.inline(F.aggregate("queue", start, step, lambda state: state["taken"]))))
     neutral = placed.where("delta = 0").join(
-        taken.where("delta = 0").select("course_id", "stretch"), ["course_id", "stretch"], "left_semi")
+        checked_broadcast(taken.where("delta = 0").select("course_id", "stretch")),
+        ["course_id", "stretch"], "left_semi")
     return taken.where("delta <> 0").select("seq", "course_id", "delta").unionByName(
         neutral.select("seq", "course_id", "delta"))
 
