@@ -1,15 +1,20 @@
-"""The nine tables as views over a TPC-H-like star schema.
+"""The nine tables derived from a TPC-H-like star schema by the rules of FIXTURES.md.
 
-The rules are those of FIXTURES.md. Nothing is materialised here: every table is
-a lazy DataFrame over the Parquet files, so a query reads only what it uses.
+Marks, enrolments and final exams all come from the same three-way join of line
+items. It is reduced once to one row per student, course and line number, and
+that summary is written when a query first needs it; marks are a projection of
+it. Users, notifications and notes are plain views over the Parquet files.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradebook.functions.bands import gpa_from_mark
+from gradebook.sources.checkpoints import written_once
 from gradebook.sources.tables import Gradebook
 
 STAFF_ID_BASE = 1_000_000_000
@@ -19,17 +24,22 @@ def derive(spark: SparkSession, directory: str) -> Gradebook:
     def raw(name: str) -> DataFrame:
         return spark.read.parquet(f"{directory}/{name}.parquet")
 
-    line = _line(raw("lineitem"), raw("orders"), raw("part"))
-    courses = _courses(raw("part"))
-    marks = _marks(line)
+    @cache
+    def summary() -> DataFrame:
+        return written_once(_line_summary(raw("lineitem"), raw("orders"), raw("part")), "line_summary")
+
+    @cache
+    def courses() -> DataFrame:
+        return written_once(_courses(raw("part")), "courses")
+
     return Gradebook(
         users=_users(raw("customer"), raw("supplier")),
         courses=courses,
-        course_user=_course_user(line, raw("supplier")),
-        assessments=_assessments(courses, raw("lineitem")),
-        marks=marks,
-        final_exams=_final_exams(line),
-        remark_requests=_remark_requests(marks),
+        course_user=lambda: written_once(_course_user(summary(), raw("supplier")), "course_user"),
+        assessments=lambda: written_once(_assessments(courses(), raw("lineitem")), "assessments"),
+        marks=lambda: _marks(summary()),
+        final_exams=lambda: written_once(_final_exams(summary()), "final_exams"),
+        remark_requests=lambda: _remark_requests(_marks(summary())),
         notifications=_notifications(raw("events")),
         advisor_notes=_advisor_notes(raw("orders")),
     )
@@ -39,18 +49,18 @@ def _brand_number(brand: Column) -> Column:
     return F.substring(brand, 7, 20).cast("bigint")
 
 
-def _line(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
+def _line_summary(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
     owners = orders.where("o_custkey % 40 <> 39").select(
         "o_orderkey", (F.col("o_custkey") + 1).alias("student_id"))
     brands = part.select("p_partkey", _brand_number(F.col("p_brand")).alias("course_id"))
+    scored = F.when(F.col("l_returnflag") != "A", F.col("l_quantity").cast("bigint") * (1 + F.col("l_linenumber") % 2))
     return (
         lineitem
         .join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(brands, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            "student_id", "course_id", F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("q"),
-            F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("pk"),
-            F.col("l_suppkey").alias("sk"), F.col("l_shipdate").alias("ts"))
+        .groupBy("student_id", "course_id", F.col("l_linenumber").alias("k"))
+        .agg(F.max(scored).alias("mark_obtained"), F.min("l_shipdate").alias("created_at"),
+             F.sum(F.col("l_partkey") * 13 + F.col("l_suppkey") * 7).alias("mix"))
     )
 
 
@@ -82,8 +92,8 @@ def _users(customer: DataFrame, supplier: DataFrame) -> DataFrame:
     return students.unionByName(staff)
 
 
-def _course_user(line: DataFrame, supplier: DataFrame) -> DataFrame:
-    students = line.select("student_id", "course_id").distinct().select(
+def _course_user(summary: DataFrame, supplier: DataFrame) -> DataFrame:
+    students = summary.select("student_id", "course_id").distinct().select(
         (F.col("student_id") * 100 + F.col("course_id")).alias("id"),
         F.col("student_id").alias("user_id"), "course_id", F.lit("student").alias("role"))
     teacher = F.col("s_suppkey") + STAFF_ID_BASE
@@ -110,25 +120,20 @@ def _assessments(courses: DataFrame, lineitem: DataFrame) -> DataFrame:
         "created_at")
 
 
-def _marks(line: DataFrame) -> DataFrame:
+def _marks(summary: DataFrame) -> DataFrame:
     # Course and number both come from the same rows as the assessments, so every
     # line outside course 25 has its assessment and no join is needed.
-    scored = F.when(F.col("flag") != "A", F.col("q").cast("bigint") * (1 + F.col("k") % 2))
-    return (
-        line.where("course_id <> 25")
-        .groupBy("student_id", (F.col("course_id") * 10 + F.col("k")).alias("assessment_id"))
-        .agg(F.max(scored).alias("mark_obtained"), F.min("ts").alias("created_at"))
-        .select((F.col("student_id") * 1000 + F.col("assessment_id")).alias("id"),
-                "assessment_id", "student_id", "mark_obtained", "created_at")
-    )
+    assessment = F.col("course_id") * 10 + F.col("k")
+    return summary.where("course_id <> 25").select(
+        (F.col("student_id") * 1000 + assessment).alias("id"), assessment.alias("assessment_id"),
+        "student_id", "mark_obtained", "created_at")
 
 
-def _final_exams(line: DataFrame) -> DataFrame:
+def _final_exams(summary: DataFrame) -> DataFrame:
     placeholder = (F.col("student_id") + F.col("course_id")) % 5 == 0
     return (
-        line.where("(student_id + course_id) % 7 <> 0")
-        .groupBy("student_id", "course_id")
-        .agg(F.sum(F.col("pk") * 13 + F.col("sk") * 7).alias("mix"))
+        summary.where("(student_id + course_id) % 7 <> 0")
+        .groupBy("student_id", "course_id").agg(F.sum("mix").alias("mix"))
         .select((F.col("student_id") * 100 + F.col("course_id")).alias("id"), "course_id", "student_id",
                 F.when(placeholder, F.lit(0)).otherwise(F.col("student_id") * 37 % 71 + F.col("mix") % 31)
                 .cast("bigint").alias("final_mark"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +13,12 @@ from gradebook.sources.schema import TABLES
 BROADCAST_ROWS = 100_000
 
 
-@dataclass(frozen=True)
 class Gradebook:
+    """The nine tables by name.
+
+    A table may be given as a function; it is called when the table is first used.
+    """
+
     users: DataFrame
     courses: DataFrame
     course_user: DataFrame
@@ -24,7 +28,20 @@ class Gradebook:
     remark_requests: DataFrame
     notifications: DataFrame
     advisor_notes: DataFrame
-    _small: dict[str, bool] = field(default_factory=dict, repr=False, compare=False)
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+        if tables.keys() != TABLES.keys():
+            raise ValueError(f"tables missing or unknown: {sorted(tables.keys() ^ TABLES.keys())}")
+        self._tables = dict(tables)
+        self._small: dict[str, bool] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        table = self._tables[name]
+        if not isinstance(table, DataFrame):
+            table = self._tables[name] = table()
+        return table
 
     @property
     def spark(self) -> SparkSession:
@@ -32,11 +49,10 @@ class Gradebook:
 
     def replace(self, **tables: DataFrame) -> Gradebook:
         """A copy with some tables exchanged."""
-        current = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "_small"}
-        return Gradebook(**{**current, **tables})
+        return Gradebook(**{**self._tables, **tables})
 
     def is_small(self, name: str) -> bool:
-        """Whether a table holds at most BROADCAST_ROWS rows; counted once per object."""
+        """Whether a table holds at most BROADCAST_ROWS rows; counted once."""
         if name not in self._small:
             self._small[name] = has_at_most(getattr(self, name), BROADCAST_ROWS)
         return self._small[name]
