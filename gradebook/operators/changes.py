@@ -121,4 +121,4 @@ def delete(base: DataFrame, requests: DataFrame, keys: str | Sequence[str]) -> t
     side = checked_broadcast(wanted)
     found = base.select(*keys).join(side, keys, "left_semi").distinct().withColumn("_found", F.lit(True))
     outcome = wanted.join(found, keys, "left").select(*keys, F.col("_found").isNotNull().alias("success"))
-    return base.join(side, keys, "left_anti"), outcome
+    return base.join(side, keys, "left_anti").select(*base.columns), outcome
