@@ -71,6 +71,12 @@ SQL = {
         SELECT id AS seq, advisor_id, concat('A', lpad(CAST(student_id AS VARCHAR(10)), 7, '0')) AS matric_number,
          course_id, CASE WHEN id % 5 = 0 THEN '' ELSE note END AS note, meeting_date
         FROM advisor_notes WHERE id % 3 = 0""",
+    "notes_by_id": """
+        SELECT id AS seq, CASE WHEN id % 4 = 0 THEN 0 ELSE advisor_id END AS advisor_id, student_id, course_id,
+         note, CASE WHEN id % 6 = 0 THEN NULL ELSE meeting_date END AS meeting_date FROM advisor_notes""",
+    "roles_batch": """
+        SELECT id AS seq, id, CASE WHEN role = 'advisor' THEN 'lecturer' ELSE 'advisor' END AS role
+        FROM users WHERE role <> 'student'""",
     # Many inserts (also of weight 0), and edits that lower, raise or keep a weight.
     "assessments_batch": """
         SELECT id * 2 AS seq, CAST(NULL AS BIGINT) AS id, coalesce(course_id, student_id % 25 + 1) AS course_id,

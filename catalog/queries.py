@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.batches import BATCH_TS, batch
@@ -16,6 +16,7 @@ from gradebook.functions.text import exam_notice
 from gradebook.operators import aggregates as agg
 from gradebook.operators import facts, filters, joins, quality
 from gradebook.operators import rankings as rank
+from gradebook.operators.changes import delete, update
 from gradebook.plans import maintenance, reports, whatif
 from gradebook.sources.star import derive
 from gradebook.sources.tables import Gradebook
@@ -77,9 +78,73 @@ def exam_notices(db: Gradebook) -> DataFrame:
         "student_id", "course_id", exam_notice(F.col("course_name"), F.col("course_id"), gpa).alias("message"))
 
 
+# Nested reports, flattened
+
+
+def student_dashboard_numbers(db: Gradebook) -> DataFrame:
+    return reports.student_dashboard(db).select(
+        "student_id", "student_name", "total_courses", "average_mark", "highest_mark", "lowest_mark", "pending_remarks")
+
+
+def student_dashboard_entries(db: Gradebook) -> DataFrame:
+    """Every list entry as (student, list, place in the list, id of the entry)."""
+    cards = reports.student_dashboard(db)
+    ids = {"recent_notifications": "id", "enrolled_courses": "course_id", "top_courses": "course_id",
+           "advisor_notes": "id", "assessment_status": "course_id", "recent_remark_requests": "id"}
+
+    def listed(name: str, key: str) -> Column:
+        return F.transform(name, lambda entry, i: F.struct(
+            F.lit(name).alias("list"), (i + 1).alias("place"), entry[key].alias("entry_id")))
+
+    return cards.select("student_id", F.inline(F.concat(*[listed(name, key) for name, key in ids.items()])))
+
+
+def student_profile_courses(db: Gradebook) -> DataFrame:
+    return reports.student_profile(db).select(
+        "student_id", "name", "email", "matric_number", "role", "average_final_mark",
+        F.explode_outer("courses").alias("course")).select("*", "course.course_id", "course.course_code").drop("course")
+
+
+def rankings_report_entries(db: Gradebook) -> DataFrame:
+    header = ["course_code", "course_name", "semester", "year", "total_students", "class_average"]
+    return reports.rankings_report(db).select("course_id", *header, F.inline_outer("students"))
+
+
+def my_marks_items(db: Gradebook) -> DataFrame:
+    return reports.my_marks(db).select("student_id", "course_id", "final_mark", "total_weighted", F.inline_outer("assessments"))
+
+
+def assignment_grid_entries(db: Gradebook) -> DataFrame:
+    return reports.assignment_grid_nested(db).select(
+        "course_id", "student_id", "name", "matric_number", F.inline("assessments"))
+
+
+def what_if_items(db: Gradebook) -> DataFrame:
+    return whatif.what_if_items(db, batch(db, "scenarios")).drop("weighted_points")
+
+
 # Changes
 
 
+def already_present(db: Gradebook) -> DataFrame:
+    present, absent = joins.already_present(batch(db, "enrol_batch"), db.final_exams, ["student_id", "course_id"])
+    return present.withColumn("present", F.lit(True)).unionByName(absent.withColumn("present", F.lit(False)))
+
+
+def add_notes_by_id(db: Gradebook) -> DataFrame:
+    notes = batch(db, "notes_by_id")
+    return maintenance.add_notes(db.advisor_notes, db.users, notes, BATCH_TS)[0].drop("id")
+
+
+def delete_finals(db: Gradebook) -> DataFrame:
+    pairs = batch(db, "enrol_batch").select("course_id", "student_id")
+    return delete(db.final_exams, pairs, ["course_id", "student_id"])[0]
+
+
+def update_roles(db: Gradebook) -> DataFrame:
+    return update(db.users, batch(db, "roles_batch"), "id", ["role"])
+
+
 def upsert_marks(db: Gradebook) -> DataFrame:
     return maintenance.save_marks(db.marks, batch(db, "marks_batch"), BATCH_TS).drop("id")
 
@@ -109,12 +174,10 @@ def upsert_remarks(db: Gradebook) -> DataFrame:
 
 
 def update_courses(db: Gradebook) -> DataFrame:
-    from gradebook.operators.changes import update
     return update(db.courses, batch(db, "courses_batch"), "id", ["course_code", "course_name", "semester", "year"])
 
 
 def update_users(db: Gradebook) -> DataFrame:
-    from gradebook.operators.changes import update
     return update(db.users, batch(db, "users_batch"), "id", ["name", "email", "matric_number", "program", "role"])
 
 
@@ -127,7 +190,6 @@ def add_users(db: Gradebook) -> DataFrame:
 
 
 def delete_marks(db: Gradebook) -> DataFrame:
-    from gradebook.operators.changes import delete
     return delete(db.marks, batch(db, "unassign_batch"), ["assessment_id", "student_id"])[0]
 
 
@@ -240,10 +302,13 @@ _ON_TABLES: dict[str, Callable[[Gradebook], DataFrame]] = {
     "performance_trend": rank.performance_trend,
     "notification_feed": rank.notification_feed,
     "note_feed": rank.note_feed,
+    "note_feed_of_course": lambda db: rank.note_feed(db, course_id=5),
     "course_catalog": rank.course_catalog,
+    "course_catalog_by_term": lambda db: rank.course_catalog(db, by_term=True),
     "gpa_bands": gpa_bands,
     "score_models": score_models,
     "exam_notices": exam_notices,
+    "already_present": already_present,
     "upsert_marks": upsert_marks,
     "insert_ignore_marks": insert_ignore_marks,
     "insert_ignore_enrolments": insert_ignore_enrolments,
@@ -256,6 +321,9 @@ _ON_TABLES: dict[str, Callable[[Gradebook], DataFrame]] = {
     "add_users": add_users,
     "delete_marks": delete_marks,
     "delete_notes": delete_notes,
+    "delete_finals": delete_finals,
+    "update_roles": update_roles,
+    "add_notes_by_id": add_notes_by_id,
     "move_enrolments": move_enrolments,
     "move_enrolments_finals": move_enrolments_finals,
     "move_enrolments_rejects": move_enrolments_rejects,
@@ -272,6 +340,13 @@ _ON_TABLES: dict[str, Callable[[Gradebook], DataFrame]] = {
     "what_if_totals": lambda db: whatif.what_if_totals(db, batch(db, "scenarios")),
     "advisor_dashboard": reports.advisor_dashboard,
     "lecturer_analytics_summary": reports.lecturer_analytics_summary,
+    "student_dashboard_numbers": student_dashboard_numbers,
+    "student_dashboard_entries": student_dashboard_entries,
+    "student_profile_courses": student_profile_courses,
+    "rankings_report_entries": rankings_report_entries,
+    "my_marks_items": my_marks_items,
+    "assignment_grid_entries": assignment_grid_entries,
+    "what_if_items": what_if_items,
     "student_dashboard": reports.student_dashboard,
     "rankings_report": reports.rankings_report,
     "student_profile": reports.student_profile,

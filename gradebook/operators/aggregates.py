@@ -54,6 +54,11 @@ def _mean(total: Column, n: Column) -> Column:
     return F.try_divide(total.cast("double"), n * F.lit(float(POINT)))
 
 
+def mean_of(value: Column, digits: int) -> Column:
+    """Mean of a group's values, rounded; NULL for none."""
+    return reported(_mean(F.sum(to_points(value)), F.count(value)), digits)
+
+
 # Counts
 
 
@@ -92,7 +97,7 @@ def final_mark_stats_per_student(db: Gradebook) -> DataFrame:
     """Average, highest and lowest final mark, 0 without exams."""
     mark = F.col("final_mark")
     stats = db.final_exams.groupBy("student_id").agg(
-        reported(_mean(F.sum(to_points(mark)), F.count(mark)), 2).alias("average_mark"),
+        mean_of(mark, 2).alias("average_mark"),
         F.max(mark).cast("double").alias("highest_mark"),
         F.min(mark).cast("double").alias("lowest_mark"))
     return _all_students(db, stats).fillna(0.0, ["average_mark", "highest_mark", "lowest_mark"])
@@ -100,9 +105,7 @@ def final_mark_stats_per_student(db: Gradebook) -> DataFrame:
 
 def avg_final_mark_per_student(db: Gradebook) -> DataFrame:
     """Average final mark per student to 4 decimals, NULL without exams."""
-    mark = F.col("final_mark")
-    stats = db.final_exams.groupBy("student_id").agg(
-        reported(_mean(F.sum(to_points(mark)), F.count(mark)), 4).alias("average_final_mark"))
+    stats = db.final_exams.groupBy("student_id").agg(mean_of(F.col("final_mark"), 4).alias("average_final_mark"))
     return _all_students(db, stats)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from gradebook.operators.joins import (
     assignment_grid,
     courses_of,
     courses_of_students,
+    enrolled,
     mark_sheet,
     people,
 )
@@ -136,41 +139,57 @@ def my_marks_totals(db: Gradebook) -> DataFrame:
 
 def student_dashboard(db: Gradebook) -> DataFrame:
     """One card per student. Lists hold the newest or best rows, or the student's courses."""
-    def per_student(rows: DataFrame, name: str, *columns: str) -> DataFrame:
-        return rows.groupBy("student_id").agg(_sorted_list(*columns).alias(name))
-
-    lists = [
-        per_student(rank.recent_notifications(db), "recent_notifications",
-                    "position", "id", "title", "message", "created_at"),
-        per_student(courses_of_students(db), "enrolled_courses",
-                    "course_id", "course_code", "course_name", "semester", "year"),
-        per_student(rank.top_courses_per_student(db), "top_courses",
-                    "position", "course_id", "final_mark", "course_code", "course_name"),
-        per_student(rank.recent_notes(db), "advisor_notes", "position", "id", "note", "meeting_date"),
-        per_student(agg.assessment_completion(db), "assessment_status",
-                    "course_id", "course_code", "course_name", "total", "completed"),
-        per_student(rank.recent_remarks(db), "recent_remark_requests",
-                    "position", "id", "status", "assessment_title", "course_code"),
+    lists = {
+        "recent_notifications": (rank.recent_notifications(db), ["position", "id", "title", "message", "created_at"]),
+        "enrolled_courses": (courses_of_students(db), ["course_id", "course_code", "course_name", "semester", "year"]),
+        "top_courses": (rank.top_courses_per_student(db), ["position", "course_id", "final_mark", "course_code", "course_name"]),
+        "advisor_notes": (rank.recent_notes(db), ["position", "id", "note", "meeting_date"]),
+        "assessment_status": (agg.assessment_completion(db), ["course_id", "course_code", "course_name", "total", "completed"]),
+        "recent_remark_requests": (rank.recent_remarks(db), ["position", "id", "status", "assessment_title", "course_code"]),
+    }
+    mark = F.col("final_mark")
+    counted = [
+        enrolled(db).select("student_id", F.lit(1).alias("enrolment")),
+        db.final_exams.select("student_id", "final_mark"),
+        db.remark_requests.where("status = 'pending'").select("student_id", F.lit(1).alias("pending")),
     ]
-    card = db.users.where("role = 'student'").select(F.col("id").alias("student_id"), F.col("name").alias("student_name"))
-    for part in (agg.course_count_per_student(db), agg.final_mark_stats_per_student(db),
-                 agg.pending_remarks_per_student(db), *lists):
-        card = card.join(part, "student_id", "left")
-    empty = {c: F.coalesce(c, F.array().cast(part.schema[c].dataType)) for part in lists for c in part.columns[1:]}
-    return card.withColumns(empty)
+    measures = [
+        F.count("enrolment").alias("total_courses"),
+        F.coalesce(agg.mean_of(mark, 2), F.lit(0.0)).alias("average_mark"),
+        F.coalesce(F.max(mark).cast("double"), F.lit(0.0)).alias("highest_mark"),
+        F.coalesce(F.min(mark).cast("double"), F.lit(0.0)).alias("lowest_mark"),
+        F.count("pending").alias("pending_remarks"),
+    ]
+    names = db.users.where("role = 'student'").select(F.col("id").alias("student_id"), F.col("name").alias("student_name"))
+    return _cards(names, counted, measures, lists)
 
 
 def student_profile(db: Gradebook) -> DataFrame:
-    """Each student's details, courses and average final mark."""
-    courses = courses_of_students(db).groupBy("student_id").agg(
-        _sorted_list("course_id", "course_code", "course_name", "semester", "year").alias("courses"))
-    card = db.users.where("role = 'student'").select(
+    """Each student's details, courses and average final mark, NULL without exams."""
+    details = db.users.where("role = 'student'").select(
         F.col("id").alias("student_id"), "name", "email", "matric_number", "role")
-    return (
-        card.join(courses, "student_id", "left")
-        .join(agg.avg_final_mark_per_student(db), "student_id", "left")
-        .withColumn("courses", F.coalesce("courses", F.array().cast(courses.schema["courses"].dataType)))
-    )
+    courses = (courses_of_students(db), ["course_id", "course_code", "course_name", "semester", "year"])
+    return _cards(
+        details, [db.final_exams.select("student_id", "final_mark")],
+        [agg.mean_of(F.col("final_mark"), 4).alias("average_final_mark")], {"courses": courses})
+
+
+def _cards(
+    people_rows: DataFrame, counted: list[DataFrame], measures: list[Column],
+    lists: dict[str, tuple[DataFrame, list[str]]],
+) -> DataFrame:
+    """Numbers and lists per student next to the student's own columns.
+
+    All parts are stacked and reduced in one aggregation per student, instead of
+    one join per part. Every student keeps a card through a marker row of their own.
+    """
+    owner = people_rows.select("student_id", F.struct(*people_rows.columns[1:]).alias("_owner"))
+    entries = [rows.select("student_id", F.struct(*columns).alias(name)) for name, (rows, columns) in lists.items()]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [owner, *counted, *entries])
+    cards = stacked.groupBy("student_id").agg(
+        F.first("_owner", ignorenulls=True).alias("_owner"), *measures,
+        *[F.array_sort(F.collect_list(name)).alias(name) for name in lists])
+    return cards.where("_owner IS NOT NULL").select("student_id", "_owner.*", *cards.columns[2:])
 
 
 def assignment_grid_nested(db: Gradebook) -> DataFrame:
