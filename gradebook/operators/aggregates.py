@@ -208,7 +208,7 @@ def _mean_by_course_name(db: Gradebook, points: DataFrame, name: str) -> DataFra
     per_course = points.groupBy("course_id").agg(
         F.sum("points").alias("total"), F.count("points").alias("n"))
     return (
-        courses_of(db, "course_name").join(per_course, "course_id", "left")
+        db.courses.select(F.col("id").alias("course_id"), "course_name").join(per_course, "course_id", "left")
         .groupBy("course_name")
         .agg(F.coalesce(reported(_mean(F.sum("total"), F.sum("n")), 4), F.lit(0.0)).alias(name))
     )

@@ -47,11 +47,14 @@ def _stats(totals: DataFrame) -> DataFrame:
 
 
 def class_stats(db: Gradebook, totals: DataFrame | None = None) -> DataFrame:
-    """Class size and mean total of every course, 0 for courses without ranked students."""
+    """Class size and mean total of every course, 0 for courses without ranked students.
+
+    ``totals`` are those of ``course_totals``: only courses with assessments have any.
+    """
     stats = _stats(course_totals(db) if totals is None else totals)
     return (
         db.courses.select(F.col("id").alias("course_id"), "course_code", "course_name", "semester", "year")
-        .join(db.dim("courses", stats), "course_id", "left")
+        .join(db.dim("assessments", stats), "course_id", "left")
         .fillna({"total_students": 0, "class_average": 0.0})
     )
 
