@@ -1,113 +1,115 @@
 """Change batches computed from the tables by fixed rules, in Spark and in SQL.
 
-Each grows with the tables. ``SQL`` holds the same batches as CTE bodies.
+Each grows with the tables. ``SQL`` holds the batches as statements that run
+unchanged in Spark and as CTEs of the checking SQL.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
+from gradebook.sources.schema import TABLES
 from gradebook.sources.tables import Gradebook
 
 BATCH_TS = "2024-01-15 08:00:00"
 
 SQL = {
-    # Changed marks (NULL stays NULL), a second change of some keys, and new keys.
+    # Approved rechecks add a mark (none stays none), then lift low marks to 50;
+    # a student advised about a course gets 40 for its exercise.
     "marks_batch": """
-        SELECT id AS seq, assessment_id, student_id, CAST(mark_obtained + 1 AS DOUBLE) AS mark_obtained
-        FROM marks WHERE id % 17 = 0
-        UNION ALL SELECT id + 1000000000000000, assessment_id, student_id, CAST(id % 50 AS DOUBLE)
-        FROM marks WHERE id % 34 = 0
-        UNION ALL SELECT id + 2000000000000000, assessment_id, student_id + 2000000000, CAST(id % 40 AS DOUBLE)
-        FROM marks WHERE id % 19 = 0""",
-    # Existing pairs and pairs of the next course.
+        SELECT m.id AS seq, m.assessment_id, m.student_id, CAST(m.mark_obtained + 1 AS DOUBLE) AS mark_obtained
+        FROM marks m JOIN remark_requests r ON r.id = m.id WHERE r.status = 'approved'
+        UNION ALL SELECT m.id + 1000000000000000, m.assessment_id, m.student_id, 50.0E0
+        FROM marks m JOIN remark_requests r ON r.id = m.id WHERE r.status = 'approved' AND m.mark_obtained < 50
+        UNION ALL SELECT n.id + 2000000000000000, a.id, n.student_id, 40.0E0
+        FROM advisor_notes n JOIN assessments a ON a.course_id = n.course_id WHERE a.type = 'exercise'""",
+    # A student is enrolled in every course of their advisor notes.
     "enrol_batch": """
-        SELECT id AS seq, user_id AS student_id, course_id FROM course_user WHERE role = 'student' AND id % 13 = 0
-        UNION ALL SELECT id + 1000000000000000, user_id, course_id % 25 + 1
-        FROM course_user WHERE role = 'student' AND id % 17 = 0""",
-    # New requests, existing ones, repeated ones, and some with a blank message.
+        SELECT id AS seq, student_id, course_id FROM advisor_notes WHERE course_id IS NOT NULL""",
+    # Low and missing marks ask for a recheck, the missing ones without a message; the lowest ask twice.
     "remarks_batch": """
         SELECT id AS seq, student_id, assessment_id,
-         CASE WHEN id % 70 = 0 THEN '  ' ELSE ' please recheck ' END AS message FROM marks WHERE id % 10 = 0
-        UNION ALL SELECT id + 1000000000000000, student_id, assessment_id, 'again' FROM marks WHERE id % 20 = 0""",
+         CASE WHEN mark_obtained IS NULL THEN '  ' ELSE ' please recheck ' END AS message
+        FROM marks WHERE mark_obtained IS NULL OR mark_obtained < 20
+        UNION ALL SELECT id + 1000000000000000, student_id, assessment_id, 'again' FROM marks WHERE mark_obtained < 10""",
+    # Pending requests are approved; the best marks get a closed request.
     "remark_edits": """
         SELECT id AS seq, student_id, assessment_id, 'seen' AS message, 'approved' AS status
-        FROM marks WHERE id % 22 = 0 OR id % 25 = 0""",
+        FROM remark_requests WHERE status = 'pending'
+        UNION ALL SELECT id + 1000000000000000, student_id, assessment_id, 'checked', 'rejected' FROM marks WHERE mark_obtained >= 90""",
     "courses_batch": """
         SELECT id AS seq, id, course_code, concat(course_name, ' (rev)') AS course_name, semester, year + 1 AS year
-        FROM courses WHERE id % 4 = 0""",
+        FROM courses WHERE semester = 1""",
     "new_courses": """
         SELECT id AS seq, concat('N', course_code) AS course_code, course_name, semester, year FROM courses""",
     "users_batch": """
         SELECT id AS seq, id, concat(name, ' jr') AS name, email, matric_number,
-         CAST(NULL AS VARCHAR(10)) AS program, role FROM users WHERE id % 29 = 0""",
+         CAST(NULL AS VARCHAR(10)) AS program, role FROM users WHERE program = 'MACHINERY' OR role = 'advisor'""",
     "new_users": """
-        SELECT id AS seq, name, CASE WHEN id % 3 = 0 THEN '' ELSE concat('new-', email) END AS email,
-         matric_number, program, role FROM users WHERE id % 31 = 0""",
+        SELECT id AS seq, name, CASE WHEN role = 'student' THEN '' ELSE concat('new-', email) END AS email,
+         matric_number, program, role FROM users WHERE matric_number IS NULL""",
+    "roles_batch": """
+        SELECT id AS seq, id, CASE WHEN role = 'advisor' THEN 'lecturer' ELSE 'advisor' END AS role
+        FROM users WHERE role <> 'student'""",
     "unassign_batch": """
-        SELECT assessment_id, student_id FROM marks WHERE id % 9 = 0
-        UNION ALL SELECT assessment_id, student_id + 2000000000 FROM marks WHERE id % 90 = 0""",
+        SELECT assessment_id, student_id FROM marks WHERE mark_obtained IS NULL
+        UNION ALL SELECT assessment_id, student_id + 2000000000 FROM marks WHERE mark_obtained < 5""",
     "note_ids": """
-        SELECT id FROM advisor_notes WHERE id % 8 = 0
-        UNION ALL SELECT id + 1000000000000 FROM advisor_notes WHERE id % 16 = 0""",
-    # Course moves, some to the next student as well, and unknown ids.
+        SELECT id FROM advisor_notes WHERE course_id IS NULL
+        UNION ALL SELECT id + 1000000000000 FROM advisor_notes WHERE note = '1-URGENT'""",
+    # Failed students move to the next course, unmarked ones hand over to the next student,
+    # the best keep their course; the last part names unknown enrolments.
     "move_batch": """
-        SELECT id AS seq, id, CASE WHEN id % 62 = 0 THEN user_id + 1 ELSE user_id END AS student_id,
-         CASE WHEN id % 124 = 0 THEN course_id ELSE course_id % 25 + 1 END AS course_id
-        FROM course_user WHERE role = 'student' AND id % 31 = 0
-        UNION ALL SELECT id + 5000000000000, id + 5000000000000, user_id, course_id
-        FROM course_user WHERE role = 'student' AND id % 93 = 0""",
+        SELECT cu.id AS seq, cu.id, CASE WHEN f.gpa IS NULL THEN cu.user_id + 1 ELSE cu.user_id END AS student_id,
+         CASE WHEN f.gpa = 4.0 THEN cu.course_id ELSE cu.course_id % 25 + 1 END AS course_id
+        FROM course_user cu JOIN final_exams f ON f.id = cu.id WHERE f.gpa IS NULL OR f.gpa = 1.0 OR f.gpa = 4.0
+        UNION ALL SELECT id + 5000000000000, id + 5000000000000, student_id, course_id FROM final_exams WHERE gpa = 1.5""",
     "withdraw_ids": """
-        SELECT id FROM course_user WHERE id % 37 = 0
-        UNION ALL SELECT id + 5000000000000 FROM course_user WHERE id % 74 = 0""",
-    # Exam marks; courses of weight 75 accept an exam of 25 but not of 30.
+        SELECT cu.id FROM course_user cu JOIN final_exams f ON f.id = cu.id WHERE f.gpa IS NULL
+        UNION ALL SELECT id + 5000000000000 FROM final_exams WHERE gpa = 1.0""",
+    # Every enrolment gets an exam mark, with the exam weight of the course's year; unmarked ones get a second.
     "finals_batch": """
-        SELECT id AS seq, course_id, user_id AS student_id, CAST(id % 101 AS DOUBLE) AS final_mark,
-         CASE id % 3 WHEN 0 THEN 30.0E0 WHEN 1 THEN 25.0E0 END AS final_exam_weight
-        FROM course_user WHERE role = 'student' AND id % 7 = 0
-        UNION ALL SELECT id + 1000000000000000, course_id, user_id, CAST(id % 61 AS DOUBLE), 20.0E0
-        FROM course_user WHERE role = 'student' AND id % 70 = 0""",
+        SELECT cu.id AS seq, cu.course_id, cu.user_id AS student_id,
+         CAST((cu.user_id * 7 + cu.course_id * 13) % 101 AS DOUBLE) AS final_mark,
+         CASE c.year WHEN 2023 THEN 30.0E0 WHEN 2024 THEN 25.0E0 END AS final_exam_weight
+        FROM course_user cu JOIN courses c ON c.id = cu.course_id WHERE cu.role = 'student'
+        UNION ALL SELECT id + 1000000000000000, course_id, student_id, 55.0E0, 20.0E0 FROM final_exams WHERE gpa IS NULL""",
     "notes_batch": """
         SELECT id AS seq, advisor_id, concat('A', lpad(CAST(student_id AS VARCHAR(10)), 7, '0')) AS matric_number,
-         course_id, CASE WHEN id % 5 = 0 THEN '' ELSE note END AS note, meeting_date
-        FROM advisor_notes WHERE id % 3 = 0""",
+         course_id, CASE WHEN note = '5-LOW' THEN '' ELSE note END AS note,
+         CASE WHEN course_id IS NULL THEN NULL ELSE meeting_date END AS meeting_date FROM advisor_notes""",
     "notes_by_id": """
-        SELECT id AS seq, CASE WHEN id % 4 = 0 THEN 0 ELSE advisor_id END AS advisor_id, student_id, course_id,
-         note, CASE WHEN id % 6 = 0 THEN NULL ELSE meeting_date END AS meeting_date FROM advisor_notes""",
-    "roles_batch": """
-        SELECT id AS seq, id, CASE WHEN role = 'advisor' THEN 'lecturer' ELSE 'advisor' END AS role
-        FROM users WHERE role <> 'student'""",
-    # Many inserts (also of weight 0), and edits that lower, raise or keep a weight.
+        SELECT id AS seq, CASE WHEN note = '1-URGENT' THEN 0 ELSE advisor_id END AS advisor_id, student_id, course_id,
+         note, CASE WHEN course_id IS NULL THEN NULL ELSE meeting_date END AS meeting_date FROM advisor_notes""",
+    # An insert per note (also of weight 0), edits that lower, raise or keep a weight, and moves to the next course.
     "assessments_batch": """
         SELECT id * 2 AS seq, CAST(NULL AS BIGINT) AS id, coalesce(course_id, student_id % 25 + 1) AS course_id,
          'Extra' AS title, 'quiz' AS type, CAST(50 AS INT) AS max_mark, CAST(id % 9 AS INT) AS weight
         FROM advisor_notes
         UNION ALL SELECT id * 50 + 1, id, course_id, concat(title, ' (rev)'), type, max_mark,
-         CAST(CASE id % 10 WHEN 2 THEN weight - 4 WHEN 3 THEN weight - 9 WHEN 4 THEN weight + 3 ELSE weight END AS INT)
-        FROM assessments WHERE id % 10 < 6
+         CAST(CASE type WHEN 'assignment' THEN weight - 4 WHEN 'lab' THEN weight - 9 WHEN 'exercise' THEN weight + 3 ELSE weight END AS INT)
+        FROM assessments WHERE title <> 'Assessment 6'
         UNION ALL SELECT id * 50 + 3, id, course_id % 25 + 1, title, type, max_mark, weight
-        FROM assessments WHERE id % 10 = 6""",
-    # Every ungraded mark supposed to be 40, and every tenth mark one better.
+        FROM assessments WHERE title = 'Assessment 6'""",
+    # Every ungraded mark supposed to be 40; every mark supposed to be one better.
     "scenarios": """
         SELECT CAST(1 AS BIGINT) AS scenario_id, student_id, assessment_id, 40.0E0 AS mark_obtained
         FROM marks WHERE mark_obtained IS NULL
         UNION ALL SELECT CAST(2 AS BIGINT), student_id, assessment_id, CAST(mark_obtained + 1 AS DOUBLE)
-        FROM marks WHERE id % 10 = 0 AND mark_obtained IS NOT NULL""",
+        FROM marks WHERE mark_obtained IS NOT NULL""",
     "matric_list": """
-        SELECT matric_number FROM users WHERE matric_number IS NOT NULL AND id % 3 = 0
-        UNION ALL SELECT concat('X', CAST(id AS VARCHAR(20))) FROM users WHERE id % 7 = 0""",
+        SELECT matric_number FROM users WHERE matric_number IS NOT NULL
+        UNION ALL SELECT concat('X', CAST(id AS VARCHAR(20))) FROM users WHERE role <> 'student'""",
     "header_pairs": """
-        SELECT user_id AS student_id, course_id % 25 + 1 AS course_id
-        FROM course_user WHERE role = 'student' AND id % 5 = 0""",
+        SELECT DISTINCT student_id, course_id FROM advisor_notes WHERE course_id IS NOT NULL""",
 }
 
+_TABLE = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
+
 
 def batch(db: Gradebook, name: str) -> DataFrame:
     """The batch as a DataFrame over the tables of ``db``."""
-    spark = db.spark
-    tables = ("users", "courses", "course_user", "assessments", "marks", "advisor_notes")
-    used = {t: getattr(db, t) for t in tables if f"FROM {t}" in SQL[name]}
-    text = SQL[name]
-    for table in used:
-        text = text.replace(f"FROM {table}", f"FROM {{{table}}}")
-    return spark.sql(text, **used)
+    used = {table: getattr(db, table) for _, table in _TABLE.findall(SQL[name])}
+    return db.spark.sql(_TABLE.sub(r"\1 {\2}", SQL[name]), **used)
