@@ -119,6 +119,16 @@ def assignment_grid_entries(db: Gradebook) -> DataFrame:
         "course_id", "student_id", "name", "matric_number", F.inline("assessments"))
 
 
+def mark_entry_sheet_items(db: Gradebook) -> DataFrame:
+    sheets = reports.mark_entry_sheet(db, batch(db, "header_pairs"))
+    return sheets.select("student_id", "student_name", "course_id", "course_code", F.inline_outer("marks"))
+
+
+def final_exam_card_items(db: Gradebook) -> DataFrame:
+    cards = reports.final_exam_card(db, batch(db, "header_pairs"))
+    return cards.select("student_id", "course_id", "final_mark", "gpa", F.inline_outer("assessments"))
+
+
 def what_if_items(db: Gradebook) -> DataFrame:
     return whatif.what_if_items(db, batch(db, "scenarios")).drop("weighted_points")
 
@@ -256,6 +266,7 @@ _ON_TABLES: dict[str, Callable[[Gradebook], DataFrame]] = {
     "courses_of_students": joins.courses_of_students,
     "mark_sheet": joins.mark_sheet,
     "mark_sheet_zero_filled": lambda db: joins.mark_sheet(db, zero_fill=True),
+    "mark_sheet_of_pairs": lambda db: joins.mark_sheet(db, zero_fill=True, pairs=batch(db, "header_pairs")),
     "student_course_header": lambda db: joins.student_course_header(db, batch(db, "header_pairs")),
     "assignment_grid": joins.assignment_grid,
     "final_exam_list": joins.final_exam_list,
@@ -346,6 +357,8 @@ _ON_TABLES: dict[str, Callable[[Gradebook], DataFrame]] = {
     "rankings_report_entries": rankings_report_entries,
     "my_marks_items": my_marks_items,
     "assignment_grid_entries": assignment_grid_entries,
+    "mark_entry_sheet_items": mark_entry_sheet_items,
+    "final_exam_card_items": final_exam_card_items,
     "what_if_items": what_if_items,
     "student_dashboard": reports.student_dashboard,
     "rankings_report": reports.rankings_report,

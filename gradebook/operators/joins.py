@@ -73,9 +73,12 @@ def courses_of_students(db: Gradebook, keys: DataFrame | None = None) -> DataFra
     ).select("student_id", "course_id", "course_code", "course_name", "semester", "year")
 
 
-def mark_sheet(db: Gradebook, zero_fill: bool = False) -> DataFrame:
-    """Every assessment of each enrolled course with the student's mark, if any."""
-    sheet = _enrolled_assessments(db, "title", "type", "max_mark", "weight")
+def mark_sheet(db: Gradebook, zero_fill: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    """Every assessment of each enrolled course with the student's mark, if any.
+
+    With ``pairs`` the requested (student_id, course_id) pairs, enrolled or not.
+    """
+    sheet = _course_assessments(db, pairs, "title", "type", "max_mark", "weight")
     rows = sheet.join(
         db.marks.select("student_id", "assessment_id", "mark_obtained"),
         ["student_id", "assessment_id"], "left")
@@ -85,10 +88,11 @@ def mark_sheet(db: Gradebook, zero_fill: bool = False) -> DataFrame:
         F.coalesce(mark, F.lit(0)).alias("mark_obtained") if zero_fill else mark)
 
 
-def _enrolled_assessments(db: Gradebook, *columns: str) -> DataFrame:
+def _course_assessments(db: Gradebook, pairs: DataFrame | None, *columns: str) -> DataFrame:
+    """The assessments of each pair's course; the pairs are the enrolments unless given."""
     per_course = db.dim("assessments", db.assessments.select(
         F.col("id").alias("assessment_id"), "course_id", *columns))
-    return enrolled(db).select("student_id", "course_id").join(per_course, "course_id")
+    return (enrolled(db) if pairs is None else pairs).select("student_id", "course_id").join(per_course, "course_id")
 
 
 def student_course_header(db: Gradebook, pairs: DataFrame, with_final: bool = True) -> DataFrame:
@@ -115,7 +119,7 @@ def assignment_grid(db: Gradebook) -> DataFrame:
     """Student x assessment of each course with a flag for an existing marks row."""
     given = db.marks.select("student_id", "assessment_id", F.lit(True).alias("assigned"))
     return (
-        _enrolled_assessments(db, "title", "type")
+        _course_assessments(db, None, "title", "type")
         .join(given, ["student_id", "assessment_id"], "left")
         .join(people(db, "name", "matric_number"), "student_id")
         .select("course_id", "student_id", "name", "matric_number", "assessment_id", "title", "type",
@@ -144,7 +148,7 @@ def assessments_with_course(db: Gradebook, course_id: int | None = None) -> Data
 
 def assessments_of_students(db: Gradebook, ordered: bool = True) -> DataFrame:
     """Assessments of every student's courses, by course code and title."""
-    rows = _enrolled_assessments(db, "title", "type").join(courses_of(db, "course_code"), "course_id")
+    rows = _course_assessments(db, None, "title", "type").join(courses_of(db, "course_code"), "course_id")
     rows = rows.select("student_id", "assessment_id", "title", "type", "course_code")
     return rows.orderBy("student_id", "course_code", "title", "assessment_id") if ordered else rows
 

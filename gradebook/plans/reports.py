@@ -21,6 +21,7 @@ from gradebook.operators.joins import (
     enrolled,
     mark_sheet,
     people,
+    student_course_header,
 )
 from gradebook.sources.tables import Gradebook
 
@@ -68,6 +69,25 @@ def lecturer_analytics_summary(db: Gradebook) -> DataFrame:
     return _summary(db, agg.student_totals(db))
 
 
+def mark_entry_sheet(db: Gradebook, pairs: DataFrame) -> DataFrame:
+    """For requested (student_id, course_id) pairs: names, and every assessment with its mark, 0 if none."""
+    marks = mark_sheet(db, zero_fill=True, pairs=pairs).groupBy(*PAIR).agg(
+        _sorted_list("assessment_id", "title", "type", "max_mark", "weight", "mark_obtained").alias("marks"))
+    return _or_empty(student_course_header(db, pairs, with_final=False).join(marks, PAIR, "left"), marks, "marks")
+
+
+def final_exam_card(db: Gradebook, pairs: DataFrame) -> DataFrame:
+    """For requested (student_id, course_id) pairs: names, final mark, GPA and the course's assessments."""
+    lists = db.assessments.groupBy("course_id").agg(
+        _sorted_list(F.col("id").alias("assessment_id"), "title", "type", "max_mark", "weight").alias("assessments"))
+    cards = student_course_header(db, pairs).join(db.dim("assessments", lists), "course_id", "left")
+    return _or_empty(cards, lists, "assessments")
+
+
+def _or_empty(df: DataFrame, lists: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+
+
 # Advisor
 
 
@@ -125,8 +145,7 @@ def my_marks(db: Gradebook) -> DataFrame:
         "weighted_mark", score_rounded_item(F.col("mark_obtained"), F.col("max_mark"), F.col("weight")))
     lists = sheet.groupBy(*PAIR).agg(_sorted_list(
         "assessment_id", "title", "type", "mark_obtained", "max_mark", "weight", "weighted_mark").alias("assessments"))
-    return my_marks_totals(db).join(lists, PAIR, "left").withColumn(
-        "assessments", F.coalesce("assessments", F.array().cast(lists.schema["assessments"].dataType)))
+    return _or_empty(my_marks_totals(db).join(lists, PAIR, "left"), lists, "assessments")
 
 
 def my_marks_totals(db: Gradebook) -> DataFrame:

@@ -215,3 +215,24 @@ def test_analytics_parts(spark):
     assert rows(parts["top_students"], "student_id", "total_completion") == [(1, 80.0), (2, 0.0)]
     assert rows(parts["doughnut"]) == [("0-25%", 1), ("26-50%", 0), ("51-75%", 0), ("76-100%", 1)]
     parts["student_totals"].unpersist()
+
+
+def test_feeds_by_matric_number(spark):
+    db = book(spark, users=[student(1), (2, "T", "t@x", "A2", None, "lecturer")], courses=[course(1)],
+              assessments=[assessment(11, 1)], marks=[mark(11, 2, 5)], advisor_notes=[(1, 9, 1, None, "n", T0)])
+    asked = spark.createDataFrame([("A1",), ("A2",)], "matric_number STRING")
+    found, unknown = filters.resolve_matric(asked, db.users)
+    assert rows(rank.note_feed(db, found.select("student_id")), "id") == [(1,)]
+    assert rows(unknown, "matric_number") == [("A2",)]
+    anyone, _ = filters.resolve_matric(asked, db.users, students_only=False)
+    assert rows(agg.courses_with_marks(db, anyone.select("student_id")), "student_id", "course_id") == [(2, 1)]
+
+
+def test_requested_pairs_need_no_enrolment(spark):
+    db = book(spark, users=[student(1)], courses=[course(1), course(2)], assessments=[assessment(11, 1)])
+    pairs = spark.createDataFrame([(1, 1), (1, 2)], "student_id BIGINT, course_id BIGINT")
+    assert rows(joins.mark_sheet(db, zero_fill=True, pairs=pairs), "assessment_id", "mark_obtained") == [(11, 0)]
+    sheets = {r.course_id: r.marks for r in reports.mark_entry_sheet(db, pairs).collect()}
+    assert [m.mark_obtained for m in sheets[1]] == [0] and sheets[2] == []
+    cards = {r.course_id: r for r in reports.final_exam_card(db, pairs).collect()}
+    assert cards[1].final_mark == 0 and [a.title for a in cards[1].assessments] == ["A11"] and cards[2].assessments == []
