@@ -2,7 +2,7 @@
 
 import random
 
-from books import T0, assessment, batch, book, rows
+from books import assessment, batch, book, rows
 
 from gradebook.operators import quality
 from gradebook.plans import maintenance
