@@ -200,12 +200,14 @@ def _cards(
     """Numbers and lists per student next to the student's own columns.
 
     All parts are stacked and reduced in one aggregation per student, instead of
-    one join per part. Every student keeps a card through a marker row of their own.
+    one join per part. Collecting lists saves nothing before a shuffle, so the rows
+    go straight to their student's task; a student has few of them, at most some
+    per course. Every student keeps a card through a marker row of their own.
     """
     owner = people_rows.select("student_id", F.struct(*people_rows.columns[1:]).alias("_owner"))
     entries = [rows.select("student_id", F.struct(*columns).alias(name)) for name, (rows, columns) in lists.items()]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [owner, *counted, *entries])
-    cards = stacked.groupBy("student_id").agg(
+    cards = stacked.repartition("student_id").groupBy("student_id").agg(
         F.first("_owner", ignorenulls=True).alias("_owner"), *measures,
         *[F.array_sort(F.collect_list(name)).alias(name) for name in lists])
     return cards.where("_owner IS NOT NULL").select("student_id", "_owner.*", *cards.columns[2:])

@@ -9,7 +9,7 @@ import gradebook
 from gradebook.plans import reports
 from gradebook.sources.schema import BATCHES, TABLES
 from gradebook.sources.sinks import write_report_json, write_table
-from gradebook.sources.tables import Gradebook, read_changes
+from gradebook.sources.tables import Gradebook, load_jdbc, read_changes
 
 
 @pytest.fixture
@@ -68,3 +68,24 @@ def test_tables_given_as_functions_are_made_once(spark, db):
 
 def test_timestamps_are_kept(db):
     assert rows(db.courses, "created_at") == [(T0,)]
+
+
+def test_database_reads_are_split_by_id_and_leave_secrets_out():
+    calls = {}
+
+    class Reader:
+        def jdbc(self, url, table, **options):
+            calls[table] = (url, options)
+            return self
+
+        def select(self, *columns):
+            return lambda: columns
+
+    class Session:
+        read = Reader()
+
+    book = load_jdbc(Session(), "jdbc:x", {"user": "u"}, upper_id=100, partitions=4)
+    assert book.users == ("id", "name", "email", "matric_number", "program", "role")
+    assert calls.keys() == TABLES.keys()
+    assert calls["marks"] == ("jdbc:x", {
+        "column": "id", "lowerBound": 0, "upperBound": 100, "numPartitions": 4, "properties": {"user": "u"}})
