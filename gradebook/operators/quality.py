@@ -26,7 +26,8 @@ def check_weights(
     then counts for later ones. Edits replace the old weight. Of several edits
     of one id the last counts. Edits that move an assessment to another course
     are decided after all others, and the weight they leave behind becomes free
-    after the batch. Negative weights and unknown ids are rejected.
+    after the batch. Negative weights and unknown ids are rejected; stored weights
+    are taken not to be negative, as this check never lets one in.
     """
     keep = changes.columns
     inserts = changes.where("id IS NULL").withColumn("delta", F.col("weight"))
