@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradebook.llm.bitmaps import bitmap, passes
 from gradebook.llm.tokens import ALNUM, pieces, shingles, words_of
 from gradebook.sources.checkpoints import written_once
 
-#: Bits of the filter that keeps shingles without a counterpart out of the join: 2 MB at every size.
-FILTER_BITS = 1 << 24
-
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -43,7 +41,7 @@ def contamination(
     """
     windows = written_once(_windows(benchmark, item_col, item_text_col, window, shingle), "windows")
     lengths = {r["k"]: r["least"] for r in windows.groupBy("k").agg(F.min(F.size("hashes")).alias("least")).collect()}
-    scan = written_once(_scan(docs, id_col, text_col, lengths, _bitmap(windows)), "scan")
+    scan = written_once(_scan(docs, id_col, text_col, lengths, bitmap(windows.select(F.explode("hashes").alias("hash")))), "scan")
     base = scan.where("k = 0").select("id", "text_hash", "n_words")
     hits = _verified(scan.where("k > 0"), _prefixes(scan, windows), max(0, window - shingle))
     hits = written_once(hits, "hits")
@@ -110,18 +108,6 @@ def _windows(benchmark: DataFrame, item_col: str, text_col: str, window: int, sh
         cut, "item string, win string, w int, k int, hashes array<bigint>").distinct()
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """The filter's bits, put together from at most ``FILTER_BITS / 64`` rows."""
-    slot = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = (
-        windows.select(F.explode("hashes").alias("hash"))
-        .groupBy(F.shiftright(slot, 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).toPandas())
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return bits.view(np.uint64)
-
-
 def _scan(docs: DataFrame, id_col: str, text_col: str, lengths: dict[int, int], bits: np.ndarray) -> DataFrame:
     """A row with k = 0 per document, and one per run of k-word shingles that pass the filter."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
@@ -135,9 +121,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, lengths: dict[int, int],
                 doc, at, length, text, hashes = [np.arange(n)], [np.full(n, -1)], [np.zeros(n, np.int64)], [""] * n, [None] * n
                 for k, least in lengths.items():
                     h, whole = shingles(words, k)
-                    slot = h & np.uint64(FILTER_BITS - 1)
-                    good = whole & ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
-                    runs, ends = _runs(good, words.first, least)
+                    runs, ends = _runs(whole & passes(bits, h), words.first, least)
                     of = np.searchsorted(words.first, runs, "right") - 1
                     doc.append(of)
                     at.append(runs - words.first[of])

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradebook.llm.decontaminate import contamination
+from gradebook.llm.near_duplicates import near_duplicates
+from gradebook.llm.workers import ship
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
@@ -21,6 +24,12 @@ def op4_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
         "contaminated")
 
 
+def op10_minhash(spark: SparkSession, directory: str) -> DataFrame:
+    found = near_duplicates(_table(spark, directory, "documents"), shingle=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
+    "op10_minhash": op10_minhash,
 }
