@@ -8,6 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from gradebook.llm.decontaminate import without_contaminated
+from gradebook.llm.workers import ship
 from gradebook.sources.checkpoints import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,6 +29,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to all documents."""
+    ship(spark)
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline/{uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
