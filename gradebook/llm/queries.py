@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gradebook.llm.decontaminate import contamination
 from gradebook.llm.near_duplicates import near_duplicates
+from gradebook.llm.substrings import repeated_substrings
 from gradebook.llm.workers import ship
 
 
@@ -24,6 +25,13 @@ def op4_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
         "contaminated")
 
 
+def op5_suffixes(spark: SparkSession, directory: str) -> DataFrame:
+    found = repeated_substrings(_table(spark, directory, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_minhash(spark: SparkSession, directory: str) -> DataFrame:
     found = near_duplicates(_table(spark, directory, "documents"), shingle=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -31,5 +39,6 @@ def op10_minhash(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
+    "op5_suffixes": op5_suffixes,
     "op10_minhash": op10_minhash,
 }
