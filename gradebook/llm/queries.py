@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gradebook.llm.decontaminate import contamination
 from gradebook.llm.near_duplicates import near_duplicates
+from gradebook.llm.quality_rules import with_quality
 from gradebook.llm.substrings import repeated_substrings
 from gradebook.llm.workers import ship
 
@@ -32,6 +33,12 @@ def op5_suffixes(spark: SparkSession, directory: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_quality(spark: SparkSession, directory: str) -> DataFrame:
+    found = with_quality(_table(spark, directory, "documents"), into="q")
+    return found.select(
+        "doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept")
+
+
 def op10_minhash(spark: SparkSession, directory: str) -> DataFrame:
     found = near_duplicates(_table(spark, directory, "documents"), shingle=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -40,5 +47,6 @@ def op10_minhash(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_suffixes": op5_suffixes,
+    "op7_quality": op7_quality,
     "op10_minhash": op10_minhash,
 }
