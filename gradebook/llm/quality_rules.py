@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,31 +11,30 @@ from gradebook.sources.checkpoints import written_once
 
 SPACE = r"[\x20\x09-\x0D]+"
 
-# Frequent words of the languages whose shares are compared.
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "a", "in", "is", "that", "for", "it", "was", "on", "are", "as", "with", "at"],
-    "de": ["der", "die", "und", "in", "den", "von", "das", "zu", "mit", "sich", "des", "auf", "für", "ist", "nicht", "im"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "pour", "est", "par", "dans", "qui"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "del", "se", "las", "por", "un", "su", "con", "no", "una"],
-}
-#: For every other language: a few words of each.
-OTHER_WORDS = [word for words in COMMON_WORDS.values() for word in words[:4]]
+# Frequent words of four languages, whose shares are compared.
+COMMON_WORDS = [
+    "the", "of", "and", "to", "a", "in", "is", "that",
+    "der", "die", "und", "den", "von", "das", "zu", "mit",
+    "de", "la", "le", "et", "les", "des", "en", "un",
+    "que", "el", "y", "los", "del", "se", "las", "por",
+]
 
 #: Distances (0 to 1) from which a document is rejected, and the words it must have for a verdict.
 MOST_CLASS_DISTANCE = 0.30
 MOST_WORD_DISTANCE = 0.45
 LEAST_WORDS = 50
 
-_CLASSES = ("letters", "spaces", "symbols", "digits", "capitals", "punctuation")
+#: Classes whose shares are compared; foreign: bytes beyond the first of characters outside ASCII.
+CLASSES = ("letters", "spaces", "symbols", "capitals", "digits", "punctuation", "foreign")
 
 
-def with_quality(
-    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", into: str = "_quality",
+def quality(
+    docs: DataFrame, *, keep: Sequence[str], text_col: str = "text", lang_col: str = "lang", into: str = "_quality",
     most_class_distance: float = MOST_CLASS_DISTANCE, most_word_distance: float = MOST_WORD_DISTANCE,
     least_words: int = LEAST_WORDS,
 ) -> DataFrame:
-    """Add a struct ``into``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    class_distance, word_distance, kept.
+    """The columns ``keep`` of every row and a struct ``into``: n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, class_distance, word_distance, kept.
 
     Words are runs of characters other than space, tab and line ends. A document fails the base rules with
     fewer than 20 words, or if more than 30 in 100 of its words lie in 8-word windows found
@@ -44,32 +43,33 @@ def with_quality(
     Jensen-Shannon distance to base 2. The references are the pooled counts of all documents of the
     language. Documents of fewer than ``least_words`` words have too unsteady shares and are kept.
 
-    Rows are judged on their own and keep all their columns; repeated rows get the same verdict. A null text
-    has no words; a null language is a language of its own. A column that is already named ``into`` is replaced.
+    The counts are written once with the kept columns, then summed to the references and
+    compared with them. Rows are judged on their own; repeated rows get the same verdict. A null text
+    has no words; a null language is a language of its own. A kept column that is named ``into`` is replaced.
     """
-    counted = _counts(docs, text_col, lang_col)
-    names = [*[f"_c{i}" for i in range(len(_CLASSES))], *[f"_w{i}" for i in range(len(OTHER_WORDS) + 1)]]
+    kept = [c for c in keep if c != into]
+    counted = written_once(_counts(docs, kept, text_col, lang_col), "counts")
+    classes, words = len(CLASSES), len(COMMON_WORDS) + 1
+    names = [*[f"c{i}" for i in range(classes)], *[f"w{i}" for i in range(words)]]
     totals = (
-        counted.select(F.col(lang_col).alias("_lang"), *_spread("_classes", "_c", len(_CLASSES)), *_spread("_shares", "_w", len(OTHER_WORDS) + 1))
-        .groupBy("_lang").agg(*[F.sum(n).alias(n) for n in names]))
+        counted.select("_q.lang", *_spread("_q.classes", "c", classes), *_spread("_q.words", "w", words))
+        .groupBy("lang").agg(*[F.sum(n).alias(n) for n in names]))
     # Written first, so that its size is known when the join is planned.
     reference = written_once(totals.select(
-        "_lang", F.array(*names[:len(_CLASSES)]).alias("_ref_classes"), F.array(*names[len(_CLASSES):]).alias("_ref_words")), "references")
-    judged = counted.join(reference, F.col(lang_col).eqNullSafe(F.col("_lang")), "left")
-    judged = _with_repeats(judged).withColumns({
-        "_class_distance": jensen_shannon(F.col("_classes"), F.col("_ref_classes")),
-        "_word_distance": jensen_shannon(F.col("_shares"), F.col("_ref_words")),
+        F.col("lang").alias("_lang"), F.array(*names[:classes]).alias("_ref_classes"), F.array(*names[classes:]).alias("_ref_words")),
+        "references")
+    judged = counted.join(reference, F.col("_q.lang").eqNullSafe(F.col("_lang")), "left").withColumns({
+        "_far_classes": jensen_shannon(F.col("_q.classes"), F.col("_ref_classes")),
+        "_far_words": jensen_shannon(F.col("_q.words"), F.col("_ref_words")),
     })
-    n = F.col("_n")
-    failed = (n < 20) | (100 * F.col("_repeats") > 30 * n)
-    far = (n >= least_words) & (
-        (F.col("_class_distance") > most_class_distance) | (F.col("_word_distance") > most_word_distance))
+    n, repeats = F.col("_q.n_words"), F.col("_q.n_repeat_words")
+    failed = (n < 20) | (100 * repeats > 30 * n)
+    far = (n >= least_words) & ((F.col("_far_classes") > most_class_distance) | (F.col("_far_words") > most_word_distance))
     result = F.struct(
-        n.alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_symbols").alias("n_symbols"),
-        F.col("_dup_lines").alias("n_dup_lines"), F.col("_repeats").alias("n_repeat_words"), failed.alias("base_failed"),
-        F.col("_class_distance").alias("class_distance"), F.col("_word_distance").alias("word_distance"),
+        *[F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        failed.alias("base_failed"), F.col("_far_classes").alias("class_distance"), F.col("_far_words").alias("word_distance"),
         (~failed & ~far).alias("kept"))
-    return judged.select(*[F.col(c) for c in docs.columns if c != into], result.alias(into))
+    return judged.select(*kept, result.alias(into))
 
 
 def jensen_shannon(left: Column, right: Column) -> Column:
@@ -85,59 +85,64 @@ def _spread(column: str, prefix: str, size: int) -> list[Column]:
     return [F.col(column)[i].alias(f"{prefix}{i}") for i in range(size)]
 
 
-def _counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """``docs`` with the counts of each text."""
-    left = lambda keep: F.length(F.regexp_replace("_text", f"[^{keep}]+", "")).cast("bigint")
-    lists = reduce(
-        lambda c, lang: c.when(F.col(lang_col) == lang, F.array(*map(F.lit, COMMON_WORDS[lang]))),
-        list(COMMON_WORDS)[1:], F.when(F.col(lang_col) == "en", F.array(*map(F.lit, COMMON_WORDS["en"]))))
-    return (
-        docs.withColumn("_text", F.coalesce(text_col, F.lit("")))
-        .withColumns({
-            "_words": F.array_remove(F.split("_text", SPACE), ""),
-            "_lines": F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
-            "_list": lists.otherwise(F.array(*map(F.lit, OTHER_WORDS))),
-        })
-        .withColumns({
-            "_n": F.size("_words").cast("bigint"),
-            "_chars": F.length(F.array_join("_words", "")).cast("bigint"),
-            "_symbols": left("#*$%&|<>"),
-            "_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-            "_digits": left("0-9"), "_capitals": left("A-ZÀ-ÖØ-Þ"), "_points": left(r"!-/:-@\[-`{-~"),
-            "_hits": F.filter("_words", lambda w: F.array_contains("_list", w)),
-        })
-        .withColumns({
-            "_classes": F.array(
-                F.col("_chars") - F.col("_digits") - F.col("_capitals") - F.col("_points"),
-                F.length("_text") - F.col("_chars"), F.col("_symbols"), F.col("_digits"), F.col("_capitals"),
-                F.col("_points") - F.col("_symbols")),
-            "_shares": F.concat(
-                F.transform("_list", lambda c: (F.size("_hits") - F.size(F.array_remove("_hits", c))).cast("bigint")),
-                F.array(F.col("_n") - F.size("_hits"))),
-        })
-        .withColumn("_grams", F.when(F.col("_n") >= 8, F.transform(
-            F.sequence(F.lit(1), F.col("_n").cast("int") - 7), lambda i: F.xxhash64(F.slice("_words", i, 8))))
-            .otherwise(F.array().cast("array<bigint>")))
-    )
+def _counts(docs: DataFrame, keep: list[str], text_col: str, lang_col: str) -> DataFrame:
+    """The columns ``keep`` and a struct ``_q`` of the counts of each text.
+
+    Each step is a column of its own, so that nothing is computed again for every element of an array.
+    """
+    without = lambda column, pattern: F.regexp_replace(column, pattern, "")
+    long = lambda column: column.cast("bigint")
+    steps = docs.select(
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(lang_col).alias("lang"),
+        F.coalesce(text_col, F.lit("")).alias("text"))
+    steps = steps.withColumns({
+        "words": F.array_remove(F.split("text", SPACE), ""),
+        "lines": F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
+        "marks": without("text", "[^!-`{-~]+"),  # capitals, digits, punctuation and symbols
+    }).withColumns({
+        "n": long(F.size("words")), "chars": long(F.length(F.array_join("words", ""))),
+        "symbols": long(F.length(without("marks", "[^#*$%&|<>]+"))),
+        "capitals": long(F.length(without("marks", "[^A-Z]+"))),
+        "digits": long(F.length(without("marks", "[^0-9]+"))),
+        "marks": long(F.length("marks")),
+        "foreign": long(F.octet_length("text") - F.length("text")),
+        "dup_lines": long(F.size("lines") - F.size(F.array_distinct("lines"))),
+        "hits": F.filter("words", lambda w: w.isin(COMMON_WORDS)),
+        "grams": F.transform("words", lambda w: F.xxhash64(w)),
+    }).withColumn("hits", F.transform("hits", lambda w: F.array_position(F.array(*map(F.lit, COMMON_WORDS)), w).cast("int")))
+    for apart in (1, 2, 4):  # hashes of 2, 4, then 8 words
+        rest = F.greatest(F.lit(0), F.size("grams") - apart)
+        steps = steps.withColumn("grams", F.zip_with(
+            F.slice("grams", F.lit(1), rest), F.slice("grams", F.lit(apart + 1), rest), lambda a, b: F.xxhash64(a, b)))
+    marks = F.col("marks") - F.col("symbols") - F.col("capitals") - F.col("digits")
+    counts = F.struct(
+        "lang", F.col("n").alias("n_words"), F.col("chars").alias("word_chars"), F.col("symbols").alias("n_symbols"),
+        F.col("dup_lines").alias("n_dup_lines"), F.col("repeats").alias("n_repeat_words"),
+        F.array(
+            F.greatest(F.lit(0), F.col("chars") - F.col("marks") - F.col("foreign")), long(F.length("text")) - F.col("chars"),
+            F.col("symbols"), F.col("capitals"), F.col("digits"), marks, F.col("foreign")).alias("classes"),
+        F.array(
+            *[long(F.size("hits") - F.size(F.array_remove("hits", i + 1))) for i in range(len(COMMON_WORDS))],
+            F.col("n") - F.size("hits")).alias("words"))
+    return _with_repeats(steps).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], counts.alias("_q"))
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:
-    """Add ``_repeats``: words covered by 8-word windows that are found twice or more.
+    """Add ``repeats``: words covered by 8-word windows whose hash is found twice or more.
 
-    The hashes of the windows are sorted with their places only in texts that have equal ones. Each
-    step is a column of its own, so that nothing is computed again for every element.
+    The hashes are sorted with their places only in texts that have equal ones.
     """
-    place = lambda j: F.col("_order")[j]["g"]
+    place = lambda j: F.col("order")[j]["g"]
     return (
-        df.withColumn("_order", F.when(
-            F.size(F.array_distinct("_grams")) < F.size("_grams"),
-            F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
+        df.withColumn("order", F.when(
+            F.size(F.array_distinct("grams")) < F.size("grams"),
+            F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
             .otherwise(F.array().cast("array<struct<g:bigint,i:int>>")))
-        .withColumn("_at", F.filter("_order", lambda x, j: (
+        .withColumn("at", F.filter("order", lambda x, j: (
             F.when(j > 0, place(j - 1) == x["g"]).otherwise(False)
-            | F.when(j < F.size("_order") - 1, place(j + 1) == x["g"]).otherwise(False))))
-        .withColumn("_at", F.sort_array(F.transform("_at", lambda x: x["i"])))
-        .withColumn("_repeats", F.aggregate(
-            "_at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
+            | F.when(j < F.size("order") - 1, place(j + 1) == x["g"]).otherwise(False))))
+        .withColumn("at", F.sort_array(F.transform("at", lambda x: x["i"])))
+        .withColumn("repeats", F.aggregate(
+            "at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
             lambda s, i: F.struct((s["n"] + i + 8 - F.greatest(i, s["to"])).alias("n"), (i + 8).alias("to")),
             lambda s: s["n"].cast("bigint"))))

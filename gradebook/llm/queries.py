@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradebook.llm.decontaminate import contamination
 from gradebook.llm.near_duplicates import near_duplicates
-from gradebook.llm.quality_rules import with_quality
+from gradebook.llm.quality_rules import quality
 from gradebook.llm.substrings import repeated_substrings
 from gradebook.llm.workers import ship
 
@@ -34,7 +34,7 @@ def op5_suffixes(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, directory: str) -> DataFrame:
-    found = with_quality(_table(spark, directory, "documents"), into="q")
+    found = quality(_table(spark, directory, "documents"), keep=["doc_id"], into="q")
     return found.select(
         "doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept")
 
