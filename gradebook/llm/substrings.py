@@ -18,6 +18,7 @@ _FIRST, _SECOND = (_RANDOM.integers(1, 2**63, 256, dtype=np.uint64) for _ in ran
 _BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE2 = np.uint64(pow(int(_BASE2), -1, 2**64))
 _LAST = 2**63 - 1
+_SHORT = 511
 
 
 def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -27,22 +28,24 @@ def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     bytes and matches never cross documents; strings are judged on the input.
 
     Method, in the manner of induced suffix sorting: only sampled suffixes are
-    sorted. Sampled are the places whose hashed ``k``-byte prefix is the least in some window of
+    sorted. Sampled are the places whose hashed prefix of a fifth of ``length`` bytes is the least in some window of
     ``length`` bytes, so equal windows hold the same sample at the same place, and
-    there are about 32 bytes from one sample to the next. A sample's tuple holds the name (hash) of its
+    there are about 40 bytes from one sample to the next. A sample's tuple holds the name (hash) of its
     prefix, the name of all text its windows cover, and its place. Spark's external sort
     brings equal names together (first level). Windows of samples whose whole text was seen
     earlier are repeated; those of samples with a name of their own are not. Only where
-    samples agree in the prefix but not in all of their text, the windows
-    themselves are named and sorted (second level). Names of whole texts and windows have 128 bits.
+    samples agree in the prefix and on one side of it, but not in all of their text, the windows
+    of that side are named and sorted themselves (second level). Names of whole texts and windows have 128 bits.
     Before each shuffle a batch keeps only its first tuple of a name, so a name has at most one row per batch.
 
     One row per row of ``docs``: id, n_bytes, n_removed, spans (array of start, end of
     the maximal removed runs), kept (the remaining bytes). Ids are cast to BIGINT. A null text
     is empty. Rows without id come after all others; rows that share an id are ordered by a hash of
     their texts; rows that repeat id and text count as one document and get the same
-    result. Texts shorter than ``length`` are left alone. Other columns are not looked at.
+    result. ``length`` may be 20 to 150. Texts shorter than ``length`` are left alone. Other columns are not looked at.
     """
+    if not 20 <= length <= 150:
+        raise ValueError("length must be from 20 to 150")
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc")
     unclear = docs.select(doc).groupBy("doc").count().where(f"count > 1 OR doc = {_LAST}").limit(1).count() > 0
     tie = F.xxhash64(text_col) if unclear else F.lit(0).cast("bigint")
@@ -56,7 +59,16 @@ def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     spans = (
         first.where("NOT unsure").select("doc", "tie", "start", "end").unionByName(second)
         .groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    return _cut(rows.join(spans, ["doc", "tie"], "left").select("id", "text", "spans"), id_col)
+    spans = written_once(spans, "spans")
+    # Documents without a span need not be moved to it.
+    bits = bitmap(spans.select(F.xxhash64("doc", "tie").alias("hash")))
+    hashed = rows.withColumn("hash", F.xxhash64("doc", "tie"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    touched = hashed.mapInArrow(_sifted(bits, True), f"id {kind}, doc bigint, tie bigint, text string")
+    others = hashed.mapInArrow(_sifted(bits, False), f"id {kind}, doc bigint, tie bigint, text string")
+    nothing = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    return _cut(touched.join(spans, ["doc", "tie"], "left").select("id", "text", "spans"), id_col).unionByName(
+        _cut(others.select("id", "text", nothing), id_col))
 
 
 def _sums(data: np.ndarray, table: np.ndarray, base: np.uint64) -> np.ndarray:
@@ -69,20 +81,32 @@ def _names(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.nda
     return mixed((sums[end] - sums[start]) * inverse[start])
 
 
+def _width(length: int) -> int:
+    """Places among which a window's sample is chosen; the rest of the window is the sample's prefix."""
+    return max(2, length * 4 // 5)
+
+
 def _samples(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(prefix name, text name, text index, sample, first window, last window) of all samples, in order."""
-    width = 1 << int(np.log2(0.65 * length))
-    k = length - width + 1
+    """(prefix name, text name, text index, sample, first window, last window, short names of both sides) in order.
+
+    A window that begins within half the width before its sample holds the half width
+    after the prefix, any other the half width before the sample: windows cannot be equal unless the short name
+    of that side is.
+    """
+    width = _width(length)
+    k, half = length - width + 1, width // 2
     n = len(data)
+    none = np.zeros(0, np.int64)
     if n < length:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none, none, none
     sums, inverse = _sums(data, _FIRST, BASE), powers(INVERSE, n + 1)
     grams = mixed((sums[k:] - sums[:-k]) * inverse[:n - k + 1])
     least, step = grams, 1
-    while step < width:
+    while 2 * step <= width:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
+    if step < width:
+        least = np.minimum(least[:step - width], least[width - step:])
     count = n - length + 1
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     valid = text[:count] == text[length - 1:]
@@ -91,24 +115,25 @@ def _samples(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndar
     begin = np.flatnonzero(change)
     stop = np.concatenate((begin[1:], [count])) - 1
     # Windows that reach into the next text are no windows: cut them off the runs.
-    last_of_text = bounds[1:][text[begin]] - length
-    stop = np.minimum(stop, last_of_text)
+    stop = np.minimum(stop, bounds[1:][text[begin]] - length)
     keep = valid[begin] & (stop >= begin)
     begin, stop = begin[keep], stop[keep]
     views = np.lib.stride_tricks.sliding_window_view(grams, width)
-    found = []
+    found = [(none, none, none)]
     while len(begin):
         sample = begin + np.concatenate([views[begin[i:i + 8192]].argmin(axis=1) for i in range(0, len(begin), 8192)])
         to = np.minimum(stop, sample)
         found.append((sample, begin, to))
         more = stop > sample
         begin, stop = sample[more] + 1, stop[more]
-    sample, begin, stop = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+    sample, begin, stop = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(begin, kind="stable")
     sample, begin, stop = sample[order], begin[order], stop[order]
     second = _names(_sums(data, _SECOND, _BASE2), powers(_INVERSE2, n + 1), begin, stop + length)
     second = mixed(second + ((sample - begin) * 65536 + (stop - begin)).astype(np.uint64))
-    return grams[sample], second, text[begin], sample, begin, stop
+    after = _names(sums, inverse, np.minimum(sample + k, n), np.minimum(sample + k + half, n)) & np.uint64(_SHORT)
+    before = _names(sums, inverse, np.maximum(sample - half, 0), sample) & np.uint64(_SHORT)
+    return grams[sample], second, text[begin], sample, begin, stop, after.astype(np.int64), before.astype(np.int64)
 
 
 def _ordered(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -136,40 +161,53 @@ def _merged(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 
 def _first_level(texts: DataFrame, length: int) -> DataFrame:
-    """(doc, tie, start, end, unsure): repeated spans, and the windows start .. end - 1 to be looked at."""
+    """(doc, tie, start, end, unsure): repeated spans, and the windows start .. end - 1 to be looked at.
+
+    ``place`` packs where a sample's windows start, how far the sample is from there, how many windows there are
+    after the first, and the short names; it is negative for spans that are known already.
+    """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(_ordered, batches):
             doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
             parts = []
             for row, data, bounds in pieces(batch.column("text")):
-                prefix, whole, text, at, begin, stop = _samples(data, bounds, length)
-                parts.append((prefix, whole, text + row, begin - bounds[text], stop - bounds[text]))
+                prefix, whole, text, at, begin, stop, after, before = _samples(data, bounds, length)
+                start = begin - bounds[text]
+                place = (((start << 7 | at - begin) << 7 | stop - begin) << 9 | after) << 9 | before
+                parts.append((prefix, whole, text + row, start, start + stop - begin, place))
             if not parts:
                 continue
-            prefix, whole, text, begin, stop = (np.concatenate(x) for x in zip(*parts))
+            prefix, whole, text, begin, stop, place = (np.concatenate(x) for x in zip(*parts))
             again = _repeats(prefix, whole)
             known, start, end = _merged(text[again], begin[again], stop[again] + length)
             one = ~again
             text = np.concatenate((text[one], known))
             yield pa.record_batch(
                 [pa.array(np.concatenate((prefix[one], mixed(doc[known].view(np.uint64) + start.astype(np.uint64)))).view(np.int64)),
-                 pa.array(np.concatenate((whole[one].view(np.int64), np.zeros(len(known), np.int64)))),
-                 pa.array(doc[text]), pa.array(tie[text]),
-                 pa.array(np.concatenate((begin[one], start)), pa.int32()),
-                 pa.array(np.concatenate((stop[one] + 1, end)), pa.int32()),
-                 pa.array(np.arange(len(text)) >= one.sum())],
-                names=["prefix", "whole", "doc", "tie", "start", "end", "known"])
-
-    tuples = texts.mapInArrow(
-        sample, "prefix bigint, whole bigint, doc bigint, tie bigint, start int, end int, known boolean")
-    ranked = tuples.selectExpr(
-        "*", "row_number() OVER (PARTITION BY prefix, whole, known ORDER BY doc, tie, start) AS place"
-    ).selectExpr("*", "min(whole) OVER (PARTITION BY prefix) AS low", "max(whole) OVER (PARTITION BY prefix) AS high")
-    return (
-        ranked.where("known OR place > 1 OR low <> high")
-        .select("doc", "tie", "start", F.expr(f"IF(known OR place = 1, end, end + {length - 1})").alias("end"),
-                F.expr("NOT known AND place = 1").alias("unsure")))
+                 pa.array(np.concatenate((whole[one].view(np.int64), end))), pa.array(doc[text]), pa.array(tie[text]),
+                 pa.array(np.concatenate((place[one], -start - 1)))],
+                names=["prefix", "whole", "doc", "tie", "place"])
+
+    half = _width(length) // 2
+    ranked = texts.mapInArrow(
+        sample, "prefix bigint, whole bigint, doc bigint, tie bigint, place bigint"
+    ).selectExpr(
+        "*", "row_number() OVER (PARTITION BY prefix, whole, place < 0 ORDER BY doc, tie, place) AS turn",
+        "shiftright(place, 9) & 511 AS after", "place & 511 AS before", "CAST(shiftright(place, 32) AS INT) AS start",
+        "CAST(shiftright(place, 25) & 127 AS INT) AS ahead", "CAST(shiftright(place, 18) & 127 AS INT) AS more"
+    ).selectExpr(
+        "*", "min(whole) OVER (PARTITION BY prefix, after) <> max(whole) OVER (PARTITION BY prefix, after) AS near",
+    ).selectExpr(
+        "*", "min(whole) OVER (PARTITION BY prefix, before) <> max(whole) OVER (PARTITION BY prefix, before) AS far")
+    # Windows from ``bend`` on begin within half the width before the sample.
+    bend = f"greatest(start, start + ahead - {half - 1})"
+    found = ranked.where("place < 0 OR turn > 1 OR near OR far").selectExpr("doc", "tie", f"""
+        CASE WHEN place < 0 THEN array(named_struct('start', CAST(-place - 1 AS INT), 'end', CAST(whole AS INT), 'unsure', false))
+             WHEN turn > 1 THEN array(named_struct('start', start, 'end', start + more + {length}, 'unsure', false))
+             ELSE array(named_struct('start', start, 'end', IF(far, least({bend}, start + more + 1), start), 'unsure', true),
+                        named_struct('start', {bend}, 'end', IF(near, start + more + 1, {bend}), 'unsure', true)) END AS spans""")
+    return found.selectExpr("doc", "tie", "inline(spans)").where("start < end")
 
 
 def _second_level(texts: DataFrame, unsure: DataFrame, length: int) -> DataFrame:
@@ -177,10 +215,6 @@ def _second_level(texts: DataFrame, unsure: DataFrame, length: int) -> DataFrame
     wanted = unsure.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     bits = bitmap(unsure.select("doc", "tie").distinct().select(F.xxhash64("doc", "tie").alias("hash")))
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(passes(bits, batch.column("hash").to_numpy().view(np.uint64)))).select(["doc", "tie", "text"])
-
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(_ordered, batches):
             doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
@@ -214,7 +248,8 @@ def _second_level(texts: DataFrame, unsure: DataFrame, length: int) -> DataFrame
                  pa.array(np.concatenate((np.zeros(new.sum(), np.int64), end)), pa.int32())],
                 names=["one", "two", "doc", "tie", "start", "end"])
 
-    chosen = texts.withColumn("hash", F.xxhash64("doc", "tie")).mapInArrow(some, "doc bigint, tie bigint, text string")
+    chosen = texts.withColumn("hash", F.xxhash64("doc", "tie")).mapInArrow(
+        _sifted(bits, True), "doc bigint, tie bigint, text string")
     windows = chosen.join(wanted, ["doc", "tie"]).mapInArrow(
         name, "one bigint, two bigint, doc bigint, tie bigint, start int, end int")
     return (
@@ -223,6 +258,17 @@ def _second_level(texts: DataFrame, unsure: DataFrame, length: int) -> DataFrame
         .select("doc", "tie", "start", F.expr(f"IF(end > 0, end, start + {length})").alias("end")))
 
 
+def _sifted(bits: np.ndarray, inside: bool):
+    """The rows whose ``hash`` may have a counterpart, or those that have none, without the hash."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(pa.array(passes(bits, batch.column("hash").to_numpy().view(np.uint64)) == inside))
+            yield rows.select([c for c in rows.schema.names if c != "hash"])
+
+    return sift
+
+
 def _cut(rows: DataFrame, id_col: str) -> DataFrame:
     """The result rows: spans united and cut out."""
     kind = rows.schema["id"].dataType.simpleString()
