@@ -30,6 +30,8 @@ class Banding(NamedTuple):
 
 #: Rounds in which every document is compared with one document that it shares tables with.
 STAR_ROUNDS = 2
+#: Nodes on either side of a tile in which sets are compared; a tile's sets are in memory together.
+TILE = 512
 
 
 def near_duplicates(
@@ -45,10 +47,9 @@ def near_duplicates(
 
     Method: equal sets are one node. The keys of the tables are all pairs of one
     sub-key of either collection. In rounds, each node is compared with one other
-    node of its tables; then every pair of nodes that share a table and still
-    lie in different components is compared, unless the shingles that only one of
-    them has rule a link out. Pairs inside one component cannot change the
-    result and are skipped. Links are confirmed on the full sets.
+    node of its tables; then the nodes that share a table and still lie in
+    different components are compared in tiles of bounded size. Pairs inside one
+    component cannot change the result and are skipped. Links are confirmed on the full sets.
 
     One row per row of ``docs``: id, ``row_hash`` (xxhash64 of id and text), n_shingles,
     ``component`` (a number of the component, null for an empty set), component_id
@@ -222,19 +223,98 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .groupBy("a", "la").agg(F.max(F.struct("shared", "b", "lb")).alias("m"))
             .select("a", "la", F.col("m.b").alias("b"), F.col("m.lb").alias("lb")))
         edges, open_rows = _merge(open_rows, _confirmed(best, sets, percent), edges)
-    sizes = open_rows.groupBy("key", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
-    few = open_rows.join(main, "key").where("label <> main").select(
-        "key", F.col("node").alias("a"), F.col("label").alias("la"), "n", "common")
-    rest = (
-        few.join(open_rows.select("key", F.col("node").alias("b"), F.col("label").alias("lb"),
-                                  F.col("n").alias("n2"), F.col("common").alias("common2")), "key")
-        .where("la <> lb").where(_may_link(percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                F.when(F.col("a") < F.col("b"), F.col("la")).otherwise(F.col("lb")).alias("la"),
-                F.when(F.col("a") < F.col("b"), F.col("lb")).otherwise(F.col("la")).alias("lb")).distinct())
-    last = _confirmed(rest, sets, percent).select("u", "v")
-    return components(edges.unionByName(last))
+    return components(edges.unionByName(_tiled(_groups(open_rows), sets, percent)))
+
+
+def _groups(open_rows: DataFrame) -> DataFrame:
+    """(group, node, label, few): who has to be compared with whom; pairs of a ``few`` node and any other of its group.
+
+    Nodes that share two tables or more with the pivot of a key form a cluster, which is one group. In
+    it, nodes outside its main label are few. A key whose nodes lie in several clusters is
+    a group too, for chance meetings; in it, nodes outside its main cluster are few. So every
+    pair of nodes that share a key and differ in label is compared, mostly once.
+    """
+    nodes = open_rows.select("node", "label").distinct()
+    pivot = open_rows.groupBy("key").agg(F.min("node").alias("p"))
+    strong = (
+        open_rows.join(pivot, "key").where("node <> p").groupBy(F.col("node").alias("u"), F.col("p").alias("v"))
+        .agg(F.count("*").alias("shared")).where("shared > 1"))
+    clusters = components(strong.select("u", "v"))
+    placed = checkpointed(
+        nodes.join(clusters, "node", "left").select("node", "label", F.coalesce("root", "node").alias("cluster")))
+    main = (
+        placed.groupBy("cluster", "label").agg(F.count("*").alias("size"))
+        .groupBy("cluster").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1"))
+    inside = placed.join(main, "cluster").select(
+        F.col("cluster").alias("group"), F.lit(0).alias("kind"), "node", "label", (F.col("label") != F.col("m.label")).alias("few"))
+    met = open_rows.select("key", "node").join(placed, "node")
+    most = (
+        met.groupBy("key", "cluster").agg(F.count("*").alias("size"))
+        .groupBy("key").agg(F.max(F.struct("size", "cluster")).alias("m"), F.count("*").alias("clusters")).where("clusters > 1"))
+    chance = met.join(most, "key").select(
+        F.col("key").alias("group"), F.lit(1).alias("kind"), "node", "label", (F.col("cluster") != F.col("m.cluster")).alias("few"))
+    return inside.unionByName(chance)
+
+
+def _tiled(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) labels of linked pairs of a few node and any other node of its group.
+
+    A group is cut into tiles of about ``TILE`` few nodes and as many of all. A tile is compared in
+    one task with bounded memory, and only pairs of labels leave it.
+    """
+    groups = written_once(groups, "groups")
+    sized = groups.join(
+        groups.groupBy("group", "kind").agg(_tiles_for("few").alias("rows"), _tiles_for(None).alias("columns")), ["group", "kind"])
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = sized.where("few").withColumn("i", place("rows")).withColumn("j", every("columns")).withColumn("side", F.lit(0))
+    right = sized.withColumn("j", place("columns")).withColumn("i", every("rows")).withColumn("side", F.lit(1))
+    columns = ["group", "kind", "i", "j", "side", "node", "label"]
+    tiles = left.select(columns).unionByName(right.select(columns)).join(sets.select("node", "items"), "node")
+    tile = ["group", "kind", "i", "j"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            rows = pa.Table.from_batches([*waiting, batch]).combine_chunks()
+            key = np.stack([rows.column(c).to_numpy() for c in tile])
+            begin = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))) if rows.num_rows else []
+            for a, b in zip(begin[:-1], begin[1:]):
+                yield _links_of(rows.slice(a, b - a), percent)
+            waiting = rows.slice(begin[-1]).to_batches() if len(begin) else []
+        if waiting:
+            yield _links_of(pa.Table.from_batches(waiting), percent)
+
+    return (
+        tiles.repartition(*tile).sortWithinPartitions(*tile)
+        .mapInArrow(compare, "u bigint, v bigint").distinct())
+
+
+def _tiles_for(flag: str | None) -> Column:
+    """Tiles that the (flagged) rows of a group need on one side."""
+    count = F.count("*") if flag is None else F.sum(F.col(flag).cast("int"))
+    return F.ceil(count / TILE).cast("int")
+
+
+def _links_of(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """Pairs of labels with a linked pair of sets in a tile."""
+    side, label, node = (rows.column(c).to_numpy() for c in ("side", "label", "node"))
+    items = rows.column("items").combine_chunks()
+    flat, size = items.flatten().to_numpy(), np.diff(items.offsets.to_numpy())
+    known, code = np.unique(flat, return_inverse=True)
+    end = np.cumsum(size)
+    right = np.flatnonzero(side == 1)
+    of_right = np.repeat(side == 1, size)
+    codes, starts = code[of_right], np.concatenate(([0], np.cumsum(size[right])[:-1]))
+    found = set()
+    for a in np.flatnonzero(side == 0):
+        has = np.zeros(len(known), np.int32)
+        has[code[end[a] - size[a]:end[a]]] = 1
+        same = np.add.reduceat(has[codes], starts)
+        linked = (100 * same >= percent * (size[a] + size[right] - same)) & (label[right] != label[a]) & (node[right] != node[a])
+        found.update((int(label[a]), int(x)) for x in label[right][linked])
+    pairs = sorted(found)
+    return pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
 
 
 def _may_link(percent: int) -> Column:
