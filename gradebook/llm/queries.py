@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradebook.llm.decontaminate import contamination
+from gradebook.llm.mixing import mixed_copies
 from gradebook.llm.near_duplicates import near_duplicates
 from gradebook.llm.quality_rules import quality
 from gradebook.llm.substrings import repeated_substrings
@@ -39,6 +40,11 @@ def op7_quality(spark: SparkSession, directory: str) -> DataFrame:
         "doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept")
 
 
+def op8_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    found = mixed_copies(_table(spark, directory, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op10_minhash(spark: SparkSession, directory: str) -> DataFrame:
     found = near_duplicates(_table(spark, directory, "documents"), shingle=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -48,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_suffixes": op5_suffixes,
     "op7_quality": op7_quality,
+    "op8_mixing": op8_mixing,
     "op10_minhash": op10_minhash,
 }
