@@ -19,6 +19,7 @@ _BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE2 = np.uint64(pow(int(_BASE2), -1, 2**64))
 _LAST = 2**63 - 1
 _SHORT = 511
+_TOGETHER = 1 << 23
 
 
 def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -36,7 +37,7 @@ def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     earlier are repeated; those of samples with a name of their own are not. Only where
     samples agree in the prefix and on one side of it, but not in all of their text, the windows
     of that side are named and sorted themselves (second level). Names of whole texts and windows have 128 bits.
-    Before each shuffle a batch keeps only its first tuple of a name, so a name has at most one row per batch.
+    Before each shuffle only the first tuple of a name in a few MB of text is kept, so a name has at most one row for each of these.
 
     One row per row of ``docs``: id, n_bytes, n_removed, spans (array of start, end of
     the maximal removed runs), kept (the remaining bytes). Ids are cast to BIGINT. A null text
@@ -136,6 +137,19 @@ def _samples(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndar
     return grams[sample], second, text[begin], sample, begin, stop, after.astype(np.int64), before.astype(np.int64)
 
 
+def _some_bytes(parts: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Runs of pieces of about ``_TOGETHER`` bytes, within which repeated names are found before the shuffle."""
+    run, size = [], 0
+    for part in parts:
+        run.append(part)
+        size += len(part[1])
+        if size >= _TOGETHER:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def _ordered(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The batch by (doc, tie), so that places are in order."""
     return batch.take(pa.array(np.lexsort((batch.column("tie").to_numpy(), batch.column("doc").to_numpy()))))
@@ -170,29 +184,28 @@ def _first_level(texts: DataFrame, length: int) -> DataFrame:
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(_ordered, batches):
             doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
-            parts = []
-            for row, data, bounds in pieces(batch.column("text")):
-                prefix, whole, text, at, begin, stop, after, before = _samples(data, bounds, length)
-                start = begin - bounds[text]
-                place = (((start << 7 | at - begin) << 7 | stop - begin) << 9 | after) << 9 | before
-                parts.append((prefix, whole, text + row, start, start + stop - begin, place))
-            if not parts:
-                continue
-            prefix, whole, text, begin, stop, place = (np.concatenate(x) for x in zip(*parts))
-            again = _repeats(prefix, whole)
-            known, start, end = _merged(text[again], begin[again], stop[again] + length)
-            one = ~again
-            text = np.concatenate((text[one], known))
-            yield pa.record_batch(
-                [pa.array(np.concatenate((prefix[one], mixed(doc[known].view(np.uint64) + start.astype(np.uint64)))).view(np.int64)),
-                 pa.array(np.concatenate((whole[one].view(np.int64), end))), pa.array(doc[text]), pa.array(tie[text]),
-                 pa.array(np.concatenate((place[one], -start - 1)))],
-                names=["prefix", "whole", "doc", "tie", "place"])
+            for pieces_ in _some_bytes(pieces(batch.column("text"))):
+                parts = []
+                for row, data, bounds in pieces_:
+                    prefix, whole, text, at, begin, stop, after, before = _samples(data, bounds, length)
+                    start = begin - bounds[text]
+                    place = (((start << 7 | at - begin) << 7 | stop - begin) << 9 | after) << 9 | before
+                    parts.append((prefix, whole, text + row, start, start + stop - begin, place))
+                prefix, whole, text, begin, stop, place = (np.concatenate(x) for x in zip(*parts))
+                again = _repeats(prefix, whole)
+                known, start, end = _merged(text[again], begin[again], stop[again] + length)
+                one = ~again
+                text = np.concatenate((text[one], known))
+                yield pa.record_batch(
+                    [pa.array(np.concatenate((prefix[one], mixed(doc[known].view(np.uint64) + start.astype(np.uint64)))).view(np.int64)),
+                     pa.array(np.concatenate((whole[one].view(np.int64), end))), pa.array(doc[text]), pa.array(tie[text]),
+                     pa.array(np.concatenate((place[one], -start - 1)))],
+                    names=["prefix", "whole", "doc", "tie", "place"])
 
     half = _width(length) // 2
     ranked = texts.mapInArrow(
         sample, "prefix bigint, whole bigint, doc bigint, tie bigint, place bigint"
-    ).selectExpr(
+    ).repartition("prefix").selectExpr(  # one shuffle of these columns for all windows that follow
         "*", "row_number() OVER (PARTITION BY prefix, whole, place < 0 ORDER BY doc, tie, place) AS turn",
         "shiftright(place, 9) & 511 AS after", "place & 511 AS before", "CAST(shiftright(place, 32) AS INT) AS start",
         "CAST(shiftright(place, 25) & 127 AS INT) AS ahead", "CAST(shiftright(place, 18) & 127 AS INT) AS more"
@@ -221,32 +234,31 @@ def _second_level(texts: DataFrame, unsure: DataFrame, length: int) -> DataFrame
             ranges = batch.column("ranges")
             limits = ranges.offsets.to_numpy()
             low, high = (ranges.values.field(c).to_numpy() for c in ("start", "end"))
-            parts = []
-            for row, data, bounds in pieces(batch.column("text")):
-                n = len(data)
-                a, b = limits[row], limits[row + len(bounds) - 1]
-                text = np.repeat(np.arange(len(bounds) - 1), np.diff(limits[row:row + len(bounds)]))
-                order = np.lexsort((low[a:b], text))
-                text, begin, size = text[order], low[a:b][order], (high[a:b] - low[a:b])[order]
-                at = np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                text = np.repeat(text, size)
-                place = at + bounds[text]
-                one = _names(_sums(data, _FIRST, BASE), powers(INVERSE, n + 1), place, place + length)
-                two = _names(_sums(data, _SECOND, _BASE2), powers(_INVERSE2, n + 1), place, place + length)
-                parts.append((one, two, text + row, at))
-            if not parts:
-                continue
-            one, two, text, at = (np.concatenate(x) for x in zip(*parts))
-            again = _repeats(one, two)
-            known, start, end = _merged(text[again], at[again], at[again] + length)
-            new = ~again
-            text = np.concatenate((text[new], known))
-            yield pa.record_batch(
-                [pa.array(np.concatenate((one[new], mixed(doc[known].view(np.uint64) + start.astype(np.uint64)))).view(np.int64)),
-                 pa.array(np.concatenate((two[new].view(np.int64), np.zeros(len(known), np.int64)))),
-                 pa.array(doc[text]), pa.array(tie[text]), pa.array(np.concatenate((at[new], start)), pa.int32()),
-                 pa.array(np.concatenate((np.zeros(new.sum(), np.int64), end)), pa.int32())],
-                names=["one", "two", "doc", "tie", "start", "end"])
+            for pieces_ in _some_bytes(pieces(batch.column("text"))):
+                parts = []
+                for row, data, bounds in pieces_:
+                    n = len(data)
+                    a, b = limits[row], limits[row + len(bounds) - 1]
+                    text = np.repeat(np.arange(len(bounds) - 1), np.diff(limits[row:row + len(bounds)]))
+                    order = np.lexsort((low[a:b], text))
+                    text, begin, size = text[order], low[a:b][order], (high[a:b] - low[a:b])[order]
+                    at = np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+                    text = np.repeat(text, size)
+                    place = at + bounds[text]
+                    one = _names(_sums(data, _FIRST, BASE), powers(INVERSE, n + 1), place, place + length)
+                    two = _names(_sums(data, _SECOND, _BASE2), powers(_INVERSE2, n + 1), place, place + length)
+                    parts.append((one, two, text + row, at))
+                one, two, text, at = (np.concatenate(x) for x in zip(*parts))
+                again = _repeats(one, two)
+                known, start, end = _merged(text[again], at[again], at[again] + length)
+                new = ~again
+                text = np.concatenate((text[new], known))
+                yield pa.record_batch(
+                    [pa.array(np.concatenate((one[new], mixed(doc[known].view(np.uint64) + start.astype(np.uint64)))).view(np.int64)),
+                     pa.array(np.concatenate((two[new].view(np.int64), np.zeros(len(known), np.int64)))),
+                     pa.array(doc[text]), pa.array(tie[text]), pa.array(np.concatenate((at[new], start)), pa.int32()),
+                     pa.array(np.concatenate((np.zeros(new.sum(), np.int64), end)), pa.int32())],
+                    names=["one", "two", "doc", "tie", "start", "end"])
 
     chosen = texts.withColumn("hash", F.xxhash64("doc", "tie")).mapInArrow(
         _sifted(bits, True), "doc bigint, tie bigint, text string")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once; a longer text is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
