@@ -12,8 +12,19 @@ from gradebook.llm.mixing import mixed_copies
 from gradebook.llm.near_duplicates import near_duplicates
 from gradebook.llm.quality_rules import quality
 from gradebook.llm.substrings import repeated_substrings
+from gradebook.llm.url_filters import Rule, judged_urls, labelled_urls, split_url
 from gradebook.llm.workers import ship
 
+# The rules of the URL query, and how many pages of good documents it learns from.
+URL_RULES = [
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+]
+GOOD_URLS = 200
+
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     ship(spark)
@@ -34,6 +45,18 @@ def op5_suffixes(spark: SparkSession, directory: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_urls(spark: SparkSession, directory: str) -> DataFrame:
+    """Labelled are the fixed small table and pages of documents labelled good (a bounded sample by hash)."""
+    pages = _table(spark, directory, "pages")
+    number = F.regexp_extract(split_url(F.col("url"))[1], r"/([0-9]{1,18})(?:[^0-9]|$)", 1)
+    good = (
+        pages.select("url", number.try_cast("bigint").alias("doc_id"))
+        .join(_table(spark, directory, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct(), "doc_id")
+        .orderBy(F.xxhash64("url"), "url").limit(GOOD_URLS).select("url", F.lit(0).alias("blocked")))
+    found = judged_urls(pages, labelled_urls(spark).unionByName(good), rules=URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_quality(spark: SparkSession, directory: str) -> DataFrame:
     found = quality(_table(spark, directory, "documents"), keep=["doc_id"], into="q")
     return found.select(
@@ -53,6 +76,7 @@ def op10_minhash(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_suffixes": op5_suffixes,
+    "op6_urls": op6_urls,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op10_minhash": op10_minhash,
