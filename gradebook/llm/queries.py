@@ -12,6 +12,7 @@ from gradebook.llm.mixing import mixed_copies
 from gradebook.llm.near_duplicates import near_duplicates
 from gradebook.llm.quality_rules import quality
 from gradebook.llm.substrings import repeated_substrings
+from gradebook.llm.surrogates import with_surrogates
 from gradebook.llm.url_filters import Rule, judged_urls, labelled_urls, split_url
 from gradebook.llm.workers import ship
 
@@ -25,6 +26,9 @@ URL_RULES = [
 ]
 GOOD_URLS = 200
 
+#: The key of the query and of the pipeline. In use, pass a secret one.
+SURROGATE_KEY = "not a secret"
+
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     ship(spark)
@@ -68,6 +72,11 @@ def op8_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op9_surrogates(spark: SparkSession, directory: str) -> DataFrame:
+    docs = _table(spark, directory, "documents").select("doc_id", "text")
+    return with_surrogates(docs, key=SURROGATE_KEY, count_col="n_entities")
+
+
 def op10_minhash(spark: SparkSession, directory: str) -> DataFrame:
     found = near_duplicates(_table(spark, directory, "documents"), shingle=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -79,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_urls": op6_urls,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
+    "op9_surrogates": op9_surrogates,
     "op10_minhash": op10_minhash,
 }
