@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradebook.llm.chat import chat_messages
 from gradebook.llm.decontaminate import contamination
+from gradebook.llm.licences import licences
 from gradebook.llm.mixing import mixed_copies
 from gradebook.llm.near_duplicates import near_duplicates
 from gradebook.llm.quality_rules import quality
+from gradebook.llm.site_quality import site_quality
 from gradebook.llm.substrings import repeated_substrings
 from gradebook.llm.surrogates import with_surrogates
 from gradebook.llm.url_filters import Rule, judged_urls, labelled_urls, split_url
@@ -35,6 +38,33 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def op1_licences(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents lie at source/lang/doc_id.txt."""
+    docs = _table(spark, directory, "documents")
+    files = docs.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id"), F.lit(".txt"))).alias("path"), "text")
+    found = licences(files)
+    number = F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("bigint")
+    return found.select(number.alias("doc_id"), "path", "licence", "cosine", "origin", "licence_dir")
+
+
+def op2_site_quality(spark: SparkSession, directory: str) -> DataFrame:
+    """A document's host is its source, the path below it its language."""
+    return site_quality(_table(spark, directory, "documents"), _table(spark, directory, "labels"))
+
+
+def op3_chat(spark: SparkSession, directory: str) -> DataFrame:
+    """Users' turns are calls of one tool, each after the one before; assistants' turns are the results of the turn before."""
+    turns = _table(spark, directory, "conversations")
+    name = lambda back: F.concat(F.lit("c"), F.col("turn") - back)
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    messages = turns.select(
+        "conv_id", "turn", "role", F.when(~user | F.col("role").isNull(), F.col("text")).alias("text"),
+        F.when(user, name(0)).when(assistant, name(1)).alias("call_id"), F.when(user, F.lit("answer")).alias("tool"),
+        F.when(user, F.to_json(F.struct("text", "turn"))).alias("arguments"),
+        F.when(user & (F.col("turn") >= 2), name(2)).alias("after"))
+    return chat_messages(messages, {"answer": {"text": ("string", True), "turn": ("integer", True)}})
+
+
 def op4_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
     found = contamination(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"))
     return found.select(
@@ -83,6 +113,9 @@ def op10_minhash(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licences": op1_licences,
+    "op2_site_quality": op2_site_quality,
+    "op3_chat": op3_chat,
     "op4_decontaminate": op4_decontaminate,
     "op5_suffixes": op5_suffixes,
     "op6_urls": op6_urls,
