@@ -227,12 +227,12 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _groups(open_rows: DataFrame) -> DataFrame:
-    """(group, node, label, few): who has to be compared with whom; pairs of a ``few`` node and any other of its group.
+    """(group, node, label, few, member): who has to be compared with whom; pairs of a ``few`` node and a member of its group.
 
     Nodes that share two tables or more with the pivot of a key form a cluster, which is one group. In
-    it, nodes outside its main label are few. A key whose nodes lie in several clusters is
-    a group too, for chance meetings; in it, nodes outside its main cluster are few. So every
-    pair of nodes that share a key and differ in label is compared, mostly once.
+    it, nodes outside its main label are few. Where clusters meet in a key by chance, the nodes of the
+    smaller visit the larger. So every pair of nodes that share a key and differ in label is compared, once per
+    cluster and not once per key.
     """
     nodes = open_rows.select("node", "label").distinct()
     pivot = open_rows.groupBy("key").agg(F.min("node").alias("p"))
@@ -242,36 +242,40 @@ def _groups(open_rows: DataFrame) -> DataFrame:
     clusters = components(strong.select("u", "v"))
     placed = checkpointed(
         nodes.join(clusters, "node", "left").select("node", "label", F.coalesce("root", "node").alias("cluster")))
+    met = open_rows.select("key", "node").join(placed, "node")
+    shares = met.groupBy("key", "cluster").agg(F.count("*").alias("size"))
+    several = shares.groupBy("key").agg(F.count("*").alias("clusters")).where("clusters > 1").select("key")
+    ranked = written_once(
+        shares.join(several, "key").selectExpr("key", "cluster", "row_number() OVER (PARTITION BY key ORDER BY size DESC, cluster) AS place"), "met")
+    visits = (
+        met.join(ranked.where("place > 1"), ["key", "cluster"]).select("key", "node", "label", "place")
+        .join(ranked.select("key", F.col("cluster").alias("group"), F.col("place").alias("before")), "key")
+        .where("before < place").select("group", "node", "label").distinct()
+        .withColumns({"few": F.lit(True), "member": F.lit(False)}))
     main = (
         placed.groupBy("cluster", "label").agg(F.count("*").alias("size"))
-        .groupBy("cluster").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1"))
-    inside = placed.join(main, "cluster").select(
-        F.col("cluster").alias("group"), F.lit(0).alias("kind"), "node", "label", (F.col("label") != F.col("m.label")).alias("few"))
-    met = open_rows.select("key", "node").join(placed, "node")
-    most = (
-        met.groupBy("key", "cluster").agg(F.count("*").alias("size"))
-        .groupBy("key").agg(F.max(F.struct("size", "cluster")).alias("m"), F.count("*").alias("clusters")).where("clusters > 1"))
-    chance = met.join(most, "key").select(
-        F.col("key").alias("group"), F.lit(1).alias("kind"), "node", "label", (F.col("cluster") != F.col("m.cluster")).alias("few"))
-    return inside.unionByName(chance)
+        .groupBy("cluster").agg(F.max(F.struct("size", "label")).alias("m")))
+    members = placed.join(main, "cluster").select(
+        F.col("cluster").alias("group"), "node", "label", (F.col("label") != F.col("m.label")).alias("few"), F.lit(True).alias("member"))
+    return members.unionByName(visits)
 
 
 def _tiled(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v) labels of linked pairs of a few node and any other node of its group.
+    """(u, v) labels of linked pairs of a few node and a member of its group.
 
-    A group is cut into tiles of about ``TILE`` few nodes and as many of all. A tile is compared in
+    A group is cut into tiles of about ``TILE`` few nodes and as many members. A tile is compared in
     one task with bounded memory, and only pairs of labels leave it.
     """
     groups = written_once(groups, "groups")
-    sized = groups.join(
-        groups.groupBy("group", "kind").agg(_tiles_for("few").alias("rows"), _tiles_for(None).alias("columns")), ["group", "kind"])
+    sizes = groups.groupBy("group").agg(_tiles_for("few").alias("rows"), _tiles_for("member").alias("columns")).where("rows > 0")
+    sized = groups.join(sizes, "group")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = sized.where("few").withColumn("i", place("rows")).withColumn("j", every("columns")).withColumn("side", F.lit(0))
-    right = sized.withColumn("j", place("columns")).withColumn("i", every("rows")).withColumn("side", F.lit(1))
-    columns = ["group", "kind", "i", "j", "side", "node", "label"]
+    right = sized.where("member").withColumn("j", place("columns")).withColumn("i", every("rows")).withColumn("side", F.lit(1))
+    columns = ["group", "i", "j", "side", "node", "label"]
     tiles = left.select(columns).unionByName(right.select(columns)).join(sets.select("node", "items"), "node")
-    tile = ["group", "kind", "i", "j"]
+    tile = ["group", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -290,10 +294,9 @@ def _tiled(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .mapInArrow(compare, "u bigint, v bigint").distinct())
 
 
-def _tiles_for(flag: str | None) -> Column:
-    """Tiles that the (flagged) rows of a group need on one side."""
-    count = F.count("*") if flag is None else F.sum(F.col(flag).cast("int"))
-    return F.ceil(count / TILE).cast("int")
+def _tiles_for(flag: str) -> Column:
+    """Tiles that the flagged rows of a group need on one side."""
+    return F.ceil(F.sum(F.col(flag).cast("int")) / TILE).cast("int")
 
 
 def _links_of(rows: pa.Table, percent: int) -> pa.RecordBatch:
@@ -304,6 +307,8 @@ def _links_of(rows: pa.Table, percent: int) -> pa.RecordBatch:
     known, code = np.unique(flat, return_inverse=True)
     end = np.cumsum(size)
     right = np.flatnonzero(side == 1)
+    if not len(right):
+        return pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["u", "v"])
     of_right = np.repeat(side == 1, size)
     codes, starts = code[of_right], np.concatenate(([0], np.cumsum(size[right])[:-1]))
     found = set()
