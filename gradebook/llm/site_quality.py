@@ -13,7 +13,7 @@ BINS = 16
 
 def site_quality(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
-    label_col: str = "quality", threshold: float = 0.5,
+    label_col: str = "quality", threshold: float = 0.1,
 ) -> DataFrame:
     """Score documents by their own features and by the site they come from.
 
