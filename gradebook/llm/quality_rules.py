@@ -72,6 +72,15 @@ def quality(
     return judged.select(*kept, result.alias(into))
 
 
+def passing_quality(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that pass the rules, with all their columns."""
+    columns = docs.columns
+    into = "_quality"
+    while into in columns:
+        into = "_" + into
+    return quality(docs, keep=columns, into=into, **options).where(F.col(f"{into}.kept")).select(*columns)
+
+
 def jensen_shannon(left: Column, right: Column) -> Column:
     """Jensen-Shannon distance to base 2 of two arrays of counts; 0 if one of them is empty of counts."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
