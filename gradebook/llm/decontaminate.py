@@ -74,9 +74,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str =
     """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
     hit = (
         contamination(docs.select(id_col, text_col), benchmark, id_col=id_col, text_col=text_col)
-        .where("contaminated").select(F.col(id_col).alias("_hit_id"), F.col("text_hash").alias("_hit_text")).distinct())
-    return docs.join(
-        hit, docs[id_col].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs[text_col]) == F.col("_hit_text")), "left_anti")
+        .where("contaminated").select(id_col, "text_hash").distinct())
+    return docs.join(hit, docs[id_col].eqNullSafe(hit[id_col]) & (F.xxhash64(docs[text_col]) == hit["text_hash"]), "left_anti")
 
 
 def _windows(benchmark: DataFrame, item_col: str, text_col: str, window: int, shingle: int) -> DataFrame:

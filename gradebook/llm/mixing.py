@@ -94,13 +94,12 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     """
     copies = (
         mixed_copies(docs.select(id_col, text_col, source_col), id_col=id_col, text_col=text_col, source_col=source_col, **options)
-        .where("copies > 0").groupBy(F.col(id_col).alias("_id"), F.col("row_hash").alias("_row_hash"), F.col(source_col).alias("_source"))
-        .agg(F.max("copies").alias("_copies")))
+        .where("copies > 0").groupBy(id_col, "row_hash", source_col).agg(F.max("copies").alias("copies")))
     same = (
-        (F.xxhash64(docs[id_col], docs[text_col]) == F.col("_row_hash")) & docs[id_col].eqNullSafe(F.col("_id"))
-        & docs[source_col].eqNullSafe(F.col("_source")))
+        (F.xxhash64(docs[id_col], docs[text_col]) == copies["row_hash"]) & docs[id_col].eqNullSafe(copies[id_col])
+        & docs[source_col].eqNullSafe(copies[source_col]))
     kept = [c for c in docs.columns if c != "copy"]
-    return docs.join(copies, same).select(*[docs[c] for c in kept], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    return docs.join(copies, same).select(*[docs[c] for c in kept], F.explode(F.sequence(F.lit(1), copies["copies"].cast("int"))).alias("copy"))
 
 
 def _rate(step: Column, x: Column, mean: Column, most: int) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gradebook.llm.bitmaps import bitmap, passes
 from gradebook.llm.components import components
+from gradebook.llm.names import unused
 from gradebook.llm.tokens import NOT_SPACE, mixed, pieces, shingles, words_of
 from gradebook.sources.checkpoints import checkpointed, written_once
 
@@ -85,11 +86,11 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     """
     found = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options).where("kept")
     one = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(id_col, "row_hash")).alias("one")).select("one.*")
-    stays = one.unionByName(found.where("n_shingles = 0").select(id_col, "row_hash").distinct()).select(
-        F.col(id_col).alias("_kept_id"), F.col("row_hash").alias("_row_hash"))
-    hashed = docs.withColumn("_row_hash", F.xxhash64(id_col, text_col))
-    same = (hashed["_row_hash"] == stays["_row_hash"]) & hashed[id_col].eqNullSafe(F.col("_kept_id"))
-    return hashed.join(stays, same, "left_semi").dropDuplicates(["_row_hash", id_col]).drop("_row_hash")
+    stays = one.unionByName(found.where("n_shingles = 0").select(id_col, "row_hash").distinct())
+    key = unused(docs, "_row_hash")
+    hashed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    same = (hashed[key] == stays["row_hash"]) & hashed[id_col].eqNullSafe(stays[id_col])
+    return hashed.join(stays, same, "left_semi").dropDuplicates([key, id_col]).drop(key)
 
 
 def _keys(h: np.ndarray, at: np.ndarray, banding: Banding) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradebook.llm.names import unused
 from gradebook.sources.checkpoints import written_once
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -69,15 +70,13 @@ def quality(
         *[F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         failed.alias("base_failed"), F.col("_far_classes").alias("class_distance"), F.col("_far_words").alias("word_distance"),
         (~failed & ~far).alias("kept"))
-    return judged.select(*kept, result.alias(into))
+    return judged.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], result.alias(into))
 
 
 def passing_quality(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that pass the rules, with all their columns."""
     columns = docs.columns
-    into = "_quality"
-    while into in columns:
-        into = "_" + into
+    into = unused(docs, "_quality")
     return quality(docs, keep=columns, into=into, **options).where(F.col(f"{into}.kept")).select(*columns)
 
 
@@ -95,7 +94,7 @@ def _spread(column: str, prefix: str, size: int) -> list[Column]:
 
 
 def _counts(docs: DataFrame, keep: list[str], text_col: str, lang_col: str) -> DataFrame:
-    """The columns ``keep`` and a struct ``_q`` of the counts of each text.
+    """The columns ``keep`` as k0, k1 ... and a struct ``_q`` of the counts of each text.
 
     Each step is a column of its own, so that nothing is computed again for every element of an array.
     """
@@ -133,7 +132,7 @@ def _counts(docs: DataFrame, keep: list[str], text_col: str, lang_col: str) -> D
         F.array(
             *[long(F.size("hits") - F.size(F.array_remove("hits", i + 1))) for i in range(len(COMMON_WORDS))],
             F.col("n") - F.size("hits")).alias("words"))
-    return _with_repeats(steps).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], counts.alias("_q"))
+    return _with_repeats(steps).select(*[f"k{i}" for i in range(len(keep))], counts.alias("_q"))
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:

@@ -49,24 +49,25 @@ def with_surrogates(docs: DataFrame, *, key: str, text_col: str = "text", count_
     """
     retried = _retried(docs, key, text_col)
     kept = [c for c in docs.columns if c != count_col]
-    found = docs.select(*kept).withColumn("_found", _entities(F.col(text_col)))
+    found = docs.select(
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], F.col(text_col).alias("text")).withColumn("found", _entities(F.col("text")))
     if retried.limit(1).count():
         # Few entities had to be tried again. They reach their documents by a join on the entity.
         hit = (
-            found.select(F.xxhash64(text_col).alias("_text_hash"), F.explode(F.array_distinct("_found")).alias("entity")).distinct()
-            .join(retried, "entity").groupBy("_text_hash")
-            .agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_attempts")))
-        found = found.withColumn("_text_hash", F.xxhash64(text_col)).join(hit, "_text_hash", "left")
-        attempt = lambda e: F.coalesce(F.element_at("_attempts", e), F.lit(0))
+            found.select(F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct("found")).alias("entity")).distinct()
+            .join(retried, "entity").groupBy("text_hash")
+            .agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("attempts")))
+        found = found.withColumn("text_hash", F.xxhash64("text")).join(hit, "text_hash", "left")
+        attempt = lambda e: F.coalesce(F.element_at("attempts", e), F.lit(0))
     else:
         attempt = lambda e: F.lit(0)
-    between = F.when(F.size("_found") > 0, F.split(text_col, _ANY)).otherwise(F.array(F.col(text_col)))
-    found = found.withColumn("_between", between).withColumn(
-        "_new", F.transform("_found", lambda e: surrogate(e, F.lit(key), attempt(e))))
-    text = F.when(F.size("_found") == 0, F.col(text_col)).otherwise(F.array_join(F.flatten(F.zip_with(
-        "_between", "_new", lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))), ""))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in kept]
-    extra = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_found")).cast("bigint").alias(count_col)] if count_col else []
+    between = F.when(F.size("found") > 0, F.split("text", _ANY)).otherwise(F.array("text"))
+    found = found.withColumn("between", between).withColumn(
+        "new", F.transform("found", lambda e: surrogate(e, F.lit(key), attempt(e))))
+    text = F.when(F.size("found") == 0, F.col("text")).otherwise(F.array_join(F.flatten(F.zip_with(
+        "between", "new", lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))), ""))
+    columns = [(text if c == text_col else F.col(f"k{i}")).alias(c) for i, c in enumerate(kept)]
+    extra = [F.when(F.col("text").isNull(), 0).otherwise(F.size("found")).cast("bigint").alias(count_col)] if count_col else []
     return found.select(*columns, *extra)
 
 
