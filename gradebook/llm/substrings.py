@@ -150,9 +150,20 @@ def _some_bytes(parts: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield run
 
 
-def _ordered(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The batch by (doc, tie), so that places are in order."""
-    return batch.take(pa.array(np.lexsort((batch.column("tie").to_numpy(), batch.column("doc").to_numpy()))))
+def _rank(batch: pa.RecordBatch) -> np.ndarray:
+    """The place of each row in the order of (doc, tie)."""
+    rank = np.empty(batch.num_rows, np.int64)
+    rank[np.lexsort((batch.column("tie").to_numpy(), batch.column("doc").to_numpy()))] = np.arange(batch.num_rows)
+    return rank
+
+
+def _in_order(rank: np.ndarray, text: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+    """Arrays that are in order within each text, by the rank of the texts."""
+    by = rank[text]
+    if (by[1:] >= by[:-1]).all():
+        return [text, *others]
+    order = np.argsort(by, kind="stable")
+    return [text[order], *[x[order] for x in others]]
 
 
 def _repeats(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -182,7 +193,8 @@ def _first_level(texts: DataFrame, length: int) -> DataFrame:
     """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in map(_ordered, batches):
+        for batch in batches:
+            rank = _rank(batch)
             doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
             for pieces_ in _some_bytes(pieces(batch.column("text"))):
                 parts = []
@@ -192,6 +204,7 @@ def _first_level(texts: DataFrame, length: int) -> DataFrame:
                     place = (((start << 7 | at - begin) << 7 | stop - begin) << 9 | after) << 9 | before
                     parts.append((prefix, whole, text + row, start, start + stop - begin, place))
                 prefix, whole, text, begin, stop, place = (np.concatenate(x) for x in zip(*parts))
+                text, prefix, whole, begin, stop, place = _in_order(rank, text, prefix, whole, begin, stop, place)
                 again = _repeats(prefix, whole)
                 known, start, end = _merged(text[again], begin[again], stop[again] + length)
                 one = ~again
@@ -229,7 +242,8 @@ def _second_level(texts: DataFrame, unsure: DataFrame, length: int) -> DataFrame
     bits = bitmap(unsure.select("doc", "tie").distinct().select(F.xxhash64("doc", "tie").alias("hash")))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in map(_ordered, batches):
+        for batch in batches:
+            rank = _rank(batch)
             doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
             ranges = batch.column("ranges")
             limits = ranges.offsets.to_numpy()
@@ -249,6 +263,7 @@ def _second_level(texts: DataFrame, unsure: DataFrame, length: int) -> DataFrame
                     two = _names(_sums(data, _SECOND, _BASE2), powers(_INVERSE2, n + 1), place, place + length)
                     parts.append((one, two, text + row, at))
                 one, two, text, at = (np.concatenate(x) for x in zip(*parts))
+                text, one, two, at = _in_order(rank, text, one, two, at)
                 again = _repeats(one, two)
                 known, start, end = _merged(text[again], at[again], at[again] + length)
                 new = ~again
@@ -286,7 +301,7 @@ def _cut(rows: DataFrame, id_col: str) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             size, removed, spans, kept = [], [], [], []
             starts = batch.column("spans")
             for i, text in enumerate(batch.column("text").cast(pa.binary())):

@@ -69,7 +69,9 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of texts; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.fill_null("").cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    texts = texts.cast(pa.large_string())
     _, offsets, data = texts.buffers()
     bounds = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -78,6 +80,7 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PIECE, "right")) - 1)
         yield at, whole[bounds[at]:bounds[to]], bounds[at:to + 1] - bounds[at]
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(data: np.ndarray, bounds: np.ndarray, word_byte: np.ndarray) -> Words:
