@@ -83,16 +83,21 @@ SQL = {
     "notes_by_id": """
         SELECT id AS seq, CASE WHEN note = '1-URGENT' THEN 0 ELSE advisor_id END AS advisor_id, student_id, course_id,
          note, CASE WHEN course_id IS NULL THEN NULL ELSE meeting_date END AS meeting_date FROM advisor_notes""",
-    # An insert per note (also of weight 0), edits that lower, raise or keep a weight, and moves to the next course.
+    # An insert per note (also of weight 0 or below), edits that lower, raise or keep a weight, moves to the next
+    # course, moves on and back, a second edit that is always refused, and unknown ids.
     "assessments_batch": """
-        SELECT id * 2 AS seq, CAST(NULL AS BIGINT) AS id, coalesce(course_id, student_id % 25 + 1) AS course_id,
-         'Extra' AS title, 'quiz' AS type, CAST(50 AS INT) AS max_mark, CAST(id % 9 AS INT) AS weight
+        SELECT id * 8 AS seq, CAST(NULL AS BIGINT) AS id, coalesce(course_id, student_id % 25 + 1) AS course_id,
+         'Extra' AS title, 'quiz' AS type, CAST(50 AS INT) AS max_mark, CAST(id % 9 - CASE WHEN id % 11 = 0 THEN 9 ELSE 0 END AS INT) AS weight
         FROM advisor_notes
-        UNION ALL SELECT id * 50 + 1, id, course_id, concat(title, ' (rev)'), type, max_mark,
+        UNION ALL SELECT id * 200 + 1, id, course_id, concat(title, ' (rev)'), type, max_mark,
          CAST(CASE type WHEN 'assignment' THEN weight - 4 WHEN 'lab' THEN weight - 9 WHEN 'exercise' THEN weight + 3 ELSE weight END AS INT)
         FROM assessments WHERE title <> 'Assessment 6'
-        UNION ALL SELECT id * 50 + 3, id, course_id % 25 + 1, title, type, max_mark, weight
-        FROM assessments WHERE title = 'Assessment 6'""",
+        UNION ALL SELECT id * 200 + 2, id, course_id % 25 + 1, title, type, max_mark, weight
+        FROM assessments WHERE title = 'Assessment 6' OR type = 'lab'
+        UNION ALL SELECT id * 200 + 3, id, CASE WHEN type = 'lab' THEN course_id ELSE (course_id + 1) % 25 + 1 END, title, type, max_mark,
+         CAST(weight + 1 AS INT) FROM assessments WHERE title = 'Assessment 6' OR type = 'lab'
+        UNION ALL SELECT id * 200 + 4, id, course_id, title, type, max_mark, CAST(75 AS INT) FROM assessments WHERE type = 'assignment'
+        UNION ALL SELECT id * 200 + 5, id + 5000000000000, course_id, title, type, max_mark, weight FROM assessments WHERE type = 'quiz'""",
     # Every ungraded mark supposed to be 40; every mark supposed to be one better.
     "scenarios": """
         SELECT CAST(1 AS BIGINT) AS scenario_id, student_id, assessment_id, 40.0E0 AS mark_obtained

@@ -36,3 +36,24 @@ def number_within(df: DataFrame, group: str, order: Sequence[Column], position:
         .withColumn(position, F.col("_place") + F.col("_shift"))
         .drop("_place", "_task", "_shift")
     )
+
+
+def running_total_within(df: DataFrame, group: str, order: Sequence[Column], value: Column, total: str) -> DataFrame:
+    """Sum of ``value`` over the rows of the group up to and with each row, without one task per group.
+
+    As in ``number_within`` a group's sorted rows are spread over tasks; each task sums its
+    block, and the sums of earlier blocks are added.
+    """
+    keys = [F.col(group), *order]
+    placed = checkpointed(
+        df.withColumn("_value", value).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn("_task", F.shiftright("_place", 33)))
+    blocks = placed.groupBy(group, "_task").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = checkpointed(blocks.select(group, "_task", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")))
+    inside = Window.partitionBy(group, "_task").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        placed.join(checked_broadcast(before), [group, "_task"])
+        .withColumn(total, F.sum("_value").over(inside) + F.col("_before"))
+        .drop("_place", "_task", "_value", "_before"))

@@ -11,26 +11,20 @@ CAP = 70
 
 
 def one_by_one(stored, changes):
-    """Accepted seqs when changes are checked in order; moves to other courses come last."""
-    weight, where = {}, {}
-    for id_, course_id, w in stored:
-        weight[course_id] = weight.get(course_id, 0) + w
-        where[id_] = (course_id, w)
-    last = {c["id"]: c["seq"] for c in sorted(changes, key=lambda c: c["seq"]) if c["id"] is not None}
-    open_changes = [
-        c for c in sorted(changes, key=lambda c: c["seq"])
-        if c["weight"] >= 0 and (c["id"] is None or (c["id"] in where and last[c["id"]] == c["seq"]))]
-    accepted = set()
-    for moving in (False, True):
-        for c in open_changes:
-            old_course, old = where.get(c["id"], (c["course_id"], 0))
-            if (old_course != c["course_id"]) != moving:
-                continue
-            now = weight.get(c["course_id"], 0)
-            grown = now + c["weight"] - (0 if moving else old)
-            if grown <= CAP:
-                accepted.add(c["seq"])
-                weight[c["course_id"]] = grown
+    """Accepted seqs when changes are checked and applied in order."""
+    where = {id_: (course_id, w or 0) for id_, course_id, w in stored}
+    inserted, accepted = [], set()
+    for c in sorted(changes, key=lambda c: c["seq"]):
+        if c["id"] is not None and c["id"] not in where:
+            continue
+        others = sum(w for i, (course_id, w) in where.items() if course_id == c["course_id"] and i != c["id"])
+        others += sum(w for course_id, w in inserted if course_id == c["course_id"])
+        if others + (c["weight"] or 0) <= CAP:
+            accepted.add(c["seq"])
+            if c["id"] is None:
+                inserted.append((c["course_id"], c["weight"] or 0))
+            else:
+                where[c["id"]] = (c["course_id"], c["weight"] or 0)
     return accepted
 
 
@@ -58,19 +52,33 @@ def test_edits_replace_their_old_weight(spark):
     assert rows(checked, "seq", "accepted") == [(1, False), (2, True), (3, True), (4, False)]
 
 
-def test_unknown_negative_and_superseded_changes(spark):
-    changes = [insert(1, 1, 5, id=99), insert(2, 1, -1), insert(3, 1, 9, id=11), insert(4, 1, 8, id=11)]
+def test_unknown_ids_and_repeated_edits(spark):
+    changes = [insert(1, 1, 5, id=99), insert(2, 1, -1), insert(3, 1, 9, id=11), insert(4, 1, 8, id=11), insert(5, 1, 80, id=11)]
     db, frame, checked = check(spark, [(11, 1, 10)], changes)
     assert rows(checked, "seq", "reason") == [
-        (1, "Assessment not found."), (2, "Weight must not be negative."), (3, "Superseded by a later change."), (4, None)]
+        (1, "Assessment not found."), (2, None), (3, None), (4, None), (5, "Total assessment weight exceeds 70%.")]
     saved, rejected = maintenance.save_assessments(db.assessments, frame, "2024-01-01 00:00:00")
-    assert rows(saved, "id", "weight") == [(11, 8)] and rejected.count() == 3
+    assert sorted(w for _, w in rows(saved, "id", "weight")) == [-1, 8] and rejected.count() == 2
 
 
-def test_weight_left_behind_becomes_free_after_the_batch(spark):
-    stored = [(11, 1, 70), (21, 2, 10)]
-    _, _, checked = check(spark, stored, [insert(1, 2, 60, id=11), insert(2, 1, 5, id=21)])
+def test_an_accepted_edit_survives_a_refused_later_one(spark):
+    db, frame, checked = check(spark, [(11, 1, 10), (12, 1, 10)], [insert(1, 1, 20, id=11), insert(2, 1, 75, id=11)])
     assert rows(checked, "seq", "accepted") == [(1, True), (2, False)]
+    saved, _ = maintenance.save_assessments(db.assessments, frame, "2024-01-01 00:00:00")
+    assert rows(saved, "id", "weight") == [(11, 20), (12, 10)]
+
+
+def test_weight_left_behind_is_free_at_once(spark):
+    stored = [(11, 1, 40), (12, 1, 30), (21, 2, 10)]
+    _, _, checked = check(spark, stored, [insert(1, 2, 40, id=11), insert(2, 1, 30), insert(3, 1, 15), insert(4, 2, 21), insert(5, 1, 20, id=21)])
+    assert rows(checked, "seq", "accepted") == [(1, True), (2, True), (3, False), (4, False), (5, False)]
+
+
+def test_negative_stored_weights_and_nulls(spark):
+    stored = [(11, 1, -50), (12, 1, None)]
+    changes = [insert(i, 1, 20) for i in range(1, 9)] + [insert(9, 1, None), insert(10, 1, None, id=11), insert(11, 1, 1), insert(12, 1, 0)]
+    _, _, checked = check(spark, stored, changes)
+    assert {r.seq for r in checked.collect() if r.accepted} == one_by_one(stored, changes)
 
 
 def test_zero_weights_share_one_verdict(spark):
@@ -92,17 +100,11 @@ def test_same_as_one_by_one_on_many_random_courses(spark):
             seq += 1
             target = course_id if random.random() < 0.9 else course_id % 120 + 1
             edited = random.choice(ids) if ids and random.random() < 0.3 else None
-            changes.append(insert(seq, target if edited else course_id, random.choice([0, 1, 1, 2, 3, 7, 12, 30, 71]), edited))
+            changes.append(insert(seq, target if edited else course_id, random.choice([0, 1, 1, 2, 3, 7, 12, 30, 71, -5]), edited))
     random.shuffle(changes)
-    # At most one change per id, as a batch is meant to have; the rest are tested above.
-    seen, unique = set(), []
-    for c in changes:
-        if c["id"] is None or c["id"] not in seen:
-            seen.add(c["id"])
-            unique.append(c)
-    _, _, checked = check(spark, stored, unique)
+    _, _, checked = check(spark, stored, changes)
     accepted = {r.seq for r in checked.collect() if r.accepted}
-    assert accepted == one_by_one(stored, unique)
+    assert accepted == one_by_one(stored, changes)
 
 
 def test_one_course_with_most_of_the_batch(spark):
