@@ -98,6 +98,11 @@ SQL = {
          CAST(weight + 1 AS INT) FROM assessments WHERE title = 'Assessment 6' OR type = 'lab'
         UNION ALL SELECT id * 200 + 4, id, course_id, title, type, max_mark, CAST(75 AS INT) FROM assessments WHERE type = 'assignment'
         UNION ALL SELECT id * 200 + 5, id + 5000000000000, course_id, title, type, max_mark, weight FROM assessments WHERE type = 'quiz'""",
+    # Marks of which some lack a key or a place in the order, and some share one.
+    "broken_marks": """
+        SELECT CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 < 3 THEN id - id % 7 + 1 ELSE id END AS seq,
+         CASE WHEN id % 11 = 0 THEN NULL ELSE assessment_id END AS assessment_id,
+         CASE WHEN id % 13 = 0 THEN NULL ELSE student_id END AS student_id, CAST(mark_obtained AS DOUBLE) AS mark_obtained FROM marks""",
     # Every ungraded mark supposed to be 40; every mark supposed to be one better.
     "scenarios": """
         SELECT CAST(1 AS BIGINT) AS scenario_id, student_id, assessment_id, 40.0E0 AS mark_obtained

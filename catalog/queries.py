@@ -219,6 +219,10 @@ def move_enrolments_rejects(db: Gradebook) -> DataFrame:
     return maintenance.move_enrolments(db.course_user, db.final_exams, batch(db, "move_batch"))[2].select("id", "reason")
 
 
+def rejected_changes(db: Gradebook) -> DataFrame:
+    return maintenance.rejected_changes(batch(db, "broken_marks"), "marks").select("seq", "assessment_id", "student_id", "reason")
+
+
 def withdraw_batch(db: Gradebook) -> DataFrame:
     enrolments, exams = maintenance.withdraw(db.course_user, db.final_exams, batch(db, "withdraw_ids"))
     return enrolments.select("user_id", "course_id", F.lit("enrolment").alias("kind")).unionByName(
@@ -338,6 +342,7 @@ _ON_TABLES: dict[str, Callable[[Gradebook], DataFrame]] = {
     "move_enrolments": move_enrolments,
     "move_enrolments_finals": move_enrolments_finals,
     "move_enrolments_rejects": move_enrolments_rejects,
+    "rejected_changes": rejected_changes,
     "withdraw_batch": withdraw_batch,
     "record_finals": record_finals,
     "record_finals_notices": record_finals_notices,

@@ -12,23 +12,57 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from gradebook.operators.joins import already_present
 from gradebook.operators.keyed import first_per_key, last_per_key
 from gradebook.sources.tables import BROADCAST_ROWS, checked_broadcast, has_at_most
 
+# Reasons of rejected changes.
+UNREADABLE = "Line cannot be read."
+REPEATED = "seq is repeated."
+
 
 def row_id(*parts: Column) -> Column:
     """Id of a new row, from its natural key."""
     return F.xxhash64(*parts)
 
 
+def stored_as(value: Column, given: DataType, wanted: DataType, name: str) -> Column:
+    """``value`` in the type of the table's column; a value that the type cannot hold stops the job."""
+    if given == wanted:
+        return value
+    cast = value.cast(wanted)
+    lost = F.raise_error(F.concat(F.lit(f"{name} cannot hold "), value.cast("string")))
+    same = cast.cast(given) == value
+    return F.when(value.isNull(), F.lit(None).cast(wanted)).when(same, cast).otherwise(lost.cast(wanted))
+
+
 def append(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """Add rows; columns they lack become NULL, columns the base lacks are dropped."""
-    kept = [c for c in base.columns if c in rows.columns]
+    """Add rows in the base's types; columns they lack become NULL, columns the base lacks are left out."""
+    given = rows.schema
+    kept = [
+        stored_as(F.col(f.name), given[f.name].dataType, f.dataType, f.name).alias(f.name)
+        for f in base.schema if f.name in rows.columns]
     return base.unionByName(rows.select(*kept), allowMissingColumns=True)
 
 
+def validated(batch: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The usable changes of a batch, and the others with a reason.
+
+    Not usable are lines that could not be read, changes that lack a key or ``seq``, and all changes that
+    share a ``seq``, as their order is unknown.
+    """
+    unread = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in batch.columns else F.lit(False)
+    repeated = batch.groupBy("seq").agg(F.count("*").alias("_times")).where("_times > 1").select("seq", F.lit(True).alias("_repeated"))
+    reason = F.when(unread, UNREADABLE)
+    for name in ["seq", *keys]:
+        reason = reason.when(F.col(name).isNull(), f"{name} is required")
+    marked = batch.join(repeated, "seq", "left").withColumn("reason", reason.when(F.col("_repeated"), REPEATED)).drop("_repeated")
+    columns = [c for c in batch.columns if c != "_corrupt_record"]
+    return marked.where("reason IS NULL").select(*columns), marked.where("reason IS NOT NULL").select(*batch.columns, "reason")
+
+
 def _with_values(rows: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     return rows.withColumns(dict(values)) if values else rows
 
@@ -41,17 +75,20 @@ def _taken_over(base: DataFrame, values: Mapping[str, Column], hit: str = "_hit"
     ]
 
 
-def _as_hits(latest: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
-    return latest.select(
-        *keys, F.lit(True).alias("_hit"), *[value.alias(f"_new_{name}") for name, value in values.items()])
+def _as_hits(base: DataFrame, latest: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    new = latest.select(*keys, *[value.alias(f"_new_{name}") for name, value in values.items()])
+    return new.select(*keys, F.lit(True).alias("_hit"), *[
+        stored_as(F.col(f"_new_{c}"), new.schema[f"_new_{c}"].dataType, base.schema[c].dataType, c).alias(f"_new_{c}") for c in values])
 
 
-def update(base: DataFrame, changes: DataFrame, key: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Overwrite ``columns`` of the rows whose key is in the batch."""
+def update(
+    base: DataFrame, changes: DataFrame, key: str | Sequence[str], columns: Sequence[str], stamps: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Overwrite ``columns`` of the rows whose key is in the batch; ``stamps`` are set there if the base has the column."""
     keys = [key] if isinstance(key, str) else list(key)
     latest = last_per_key(changes.select("seq", *keys, *columns), keys)
-    values = {c: F.col(c) for c in columns}
-    hits = checked_broadcast(_as_hits(latest, keys, values))
+    values = {**{c: F.col(c) for c in columns}, **{c: v for c, v in (stamps or {}).items() if c in base.columns}}
+    hits = checked_broadcast(_as_hits(base, latest, keys, values))
     return base.join(hits, keys, "left").select(*_taken_over(base, values))
 
 
@@ -73,7 +110,7 @@ def upsert(
     latest = last_per_key(changes.select("seq", *keys, *columns), keys)
     values = {**{c: F.col(c) for c in columns}, **stamps}
     inserts = {**(defaults or {}), **stamps}
-    hits = _as_hits(latest, keys, values)
+    hits = _as_hits(base, latest, keys, values)
     if has_at_most(changes.select(*keys), BROADCAST_ROWS):
         updated = base.join(F.broadcast(hits), keys, "left").select(*_taken_over(base, values))
         _, fresh = already_present(latest, base, keys, small=True)

@@ -10,7 +10,7 @@ from gradebook.functions.text import EXAM_NOTICE_TITLE, clean_text, exam_notice
 from gradebook.operators import changes as apply
 from gradebook.operators.filters import required_fields, resolve_matric
 from gradebook.operators.joins import courses_of
-from gradebook.operators.keyed import last_per_key
+from gradebook.operators.keyed import first_per_key, last_per_key
 from gradebook.operators.quality import check_final_weight, check_weights
 from gradebook.sources.tables import Gradebook
 
@@ -19,6 +19,9 @@ FINAL_KEY = ["course_id", "student_id"]
 MARK_KEY = ["assessment_id", "student_id"]
 REMARK_KEY = ["student_id", "assessment_id"]
 
+# Fixed value: the reason of a move to an occupied place.
+MOVE_TAKEN = "The student is enrolled in that course."
+
 
 def _stamp(batch_ts: str) -> Column:
     return F.lit(batch_ts).cast("timestamp_ntz")
@@ -28,32 +31,50 @@ def _split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("accepted").drop("accepted", "reason"), checked.where("NOT accepted").drop("accepted")
 
 
+#: The columns by which the changes of a batch are matched.
+BATCH_KEYS = {
+    "marks": MARK_KEY, "finals": FINAL_KEY, "remarks": REMARK_KEY, "enrolments": ["student_id", "course_id"], "moves": ["id", "student_id", "course_id"],
+    "assessments": ["course_id"], "courses": [], "users": [], "notes": [],
+}
+
+
+def rejected_changes(batch: DataFrame, kind: str) -> DataFrame:
+    """The changes of a batch that every function here leaves out, with a reason; see ``validated``."""
+    return apply.validated(batch, BATCH_KEYS[kind])[1]
+
+
+def _usable(batch: DataFrame, kind: str) -> DataFrame:
+    return apply.validated(batch, BATCH_KEYS[kind])[0]
+
+
 def save_marks(marks: DataFrame, batch: DataFrame, batch_ts: str) -> DataFrame:
     """Set or insert marks."""
     now = _stamp(batch_ts)
     return apply.upsert(
-        marks, batch, MARK_KEY, ["mark_obtained"],
+        marks, _usable(batch, "marks"), MARK_KEY, ["mark_obtained"],
         defaults={"id": apply.row_id(*map(F.col, MARK_KEY)), "created_at": now}, stamps={"updated_at": now})
 
 
 def assign_marks(marks: DataFrame, batch: DataFrame, batch_ts: str) -> DataFrame:
     """Insert ungraded marks rows where none exist."""
     return apply.insert_ignore(
-        marks, batch.select("seq", *MARK_KEY), MARK_KEY,
+        marks, _usable(batch, "marks").select("seq", *MARK_KEY), MARK_KEY,
         {"id": apply.row_id(*map(F.col, MARK_KEY)), "created_at": _stamp(batch_ts)})
 
 
 def save_remarks(remarks: DataFrame, batch: DataFrame, batch_ts: str) -> DataFrame:
     """Set message and status of recheck requests, or insert them."""
     return apply.upsert(
-        remarks, batch, REMARK_KEY, ["message", "status"],
+        remarks, _usable(batch, "remarks"), REMARK_KEY, ["message", "status"],
         defaults={"id": apply.row_id(*map(F.col, REMARK_KEY)), "created_at": _stamp(batch_ts)})
 
 
 def request_remarks(remarks: DataFrame, batch: DataFrame, batch_ts: str) -> tuple[DataFrame, DataFrame]:
     """New recheck requests with a trimmed message; incomplete or repeated ones are rejected."""
-    cleaned = batch.select("seq", *REMARK_KEY, clean_text(F.col("message")).alias("message"))
-    complete, incomplete = required_fields(cleaned, ["assessment_id"], text=["message"])
+    usable, unusable = apply.validated(batch, [])
+    shaped = lambda rows: rows.select("seq", *REMARK_KEY, clean_text(F.col("message")).alias("message"))
+    complete, incomplete = required_fields(shaped(usable), ["student_id", "assessment_id"], text=["message"])
+    incomplete = incomplete.unionByName(shaped(unusable).join(unusable.select("seq", "reason").distinct(), "seq", "left"))
     added, repeated = apply.insert_unique(
         remarks, complete, REMARK_KEY, "A request for this assessment exists.",
         {"id": apply.row_id(*map(F.col, REMARK_KEY)), "status": F.lit("pending"), "created_at": _stamp(batch_ts)})
@@ -65,6 +86,7 @@ def enrol(
 ) -> tuple[DataFrame, DataFrame]:
     """Enrol students and give each a final exam row with mark 0; existing rows stay as they are."""
     now = _stamp(batch_ts)
+    batch = _usable(batch, "enrolments")
     pairs = batch.select("seq", F.col("student_id").alias("user_id"), "course_id")
     enrolments = apply.insert_ignore(course_user, pairs, ENROLMENT_KEY, {
         "id": apply.row_id(*map(F.col, ENROLMENT_KEY)), "role": F.lit("student"), "created_at": now})
@@ -74,25 +96,46 @@ def enrol(
 
 
 def move_enrolments(
-    course_user: DataFrame, finals: DataFrame, batch: DataFrame
+    course_user: DataFrame, finals: DataFrame, batch: DataFrame, batch_ts: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Set student and course of enrolment ids; unknown ids are rejected.
+    """Set student and course of enrolment ids.
 
-    When the course changes, the exam row of the *new* student at the *old*
-    course moves along. That mix of new and old is the rule as given.
+    Rejected are unknown ids, and moves to a pair of student and course that another enrolment held
+    before the batch or that an earlier change takes; so pairs stay unique. When the course changes, the exam row of
+    the *new* student at the *old* course moves along, unless the student has an exam at the new
+    course. That mix of new and old is the rule as given. ``batch_ts`` is set as ``updated_at`` where the table has it.
     """
-    latest = last_per_key(batch, "id")
-    current = course_user.select("id", F.col("course_id").alias("_old_course"))
-    known = latest.join(current, "id")
-    rejected = latest.join(known.select("id"), "id", "left_anti").withColumn("reason", F.lit("Enrollment not found."))
-    enrolments = apply.update(
-        course_user, known.withColumn("user_id", F.col("student_id")), "id", ["user_id", "course_id"])
-    moves = known.where("_old_course <> course_id").select(
+    usable, unusable = apply.validated(batch, BATCH_KEYS["moves"])
+    stamps = {"updated_at": _stamp(batch_ts)} if batch_ts else None
+    latest = last_per_key(usable, "id")
+    stored = course_user.select("id", F.col("user_id").alias("_old_student"), F.col("course_id").alias("_old_course"))
+    known = latest.join(stored, "id")
+    unknown = latest.join(known.select("id"), "id", "left_anti").withColumn("reason", F.lit("Enrollment not found."))
+    pair = ["student_id", "course_id"]
+    held = stored.select(F.col("_old_student").alias("student_id"), F.col("_old_course").alias("course_id"), F.col("id").alias("_holder"))
+    meeting = known.join(held, pair, "left").groupBy("id").agg(F.coalesce(F.max(F.col("_holder") != F.col("id")), F.lit(False)).alias("_held"))
+    judged = known.join(meeting, "id")
+    free = judged.where("NOT _held")
+    first = first_per_key(free, pair, [F.asc("seq")]).select("id", F.lit(True).alias("_first"))
+    placed = judged.join(first, "id", "left")
+    accepted = placed.where("_first")
+    taken = placed.where("_first IS NULL").withColumn("reason", F.lit(MOVE_TAKEN))
+    enrolments = apply.update(course_user, accepted.withColumn("user_id", F.col("student_id")), "id", ["user_id", "course_id"], stamps)
+
+    moves = accepted.where("_old_course <> course_id").select(
         "seq", "student_id", F.col("_old_course").alias("course_id"), F.col("course_id").alias("_target"))
-    target = last_per_key(moves, FINAL_KEY).drop("seq")
-    exams = finals.join(target, FINAL_KEY, "left").withColumn(
-        "course_id", F.coalesce("_target", "course_id")).select(*finals.columns)
-    return enrolments, exams, rejected
+    exams = finals.select(*FINAL_KEY)
+    wanted = last_per_key(moves, FINAL_KEY).join(exams, FINAL_KEY, "left_semi")
+    open_ = wanted.join(exams.withColumnRenamed("course_id", "_target"), ["student_id", "_target"], "left_anti")
+    target = first_per_key(open_, ["student_id", "_target"], [F.asc("seq")]).select(*FINAL_KEY, "_target", F.lit(True).alias("_moved"))
+    moved = finals.join(target, FINAL_KEY, "left")
+    columns = [
+        F.coalesce("_target", "course_id").alias(c) if c == "course_id"
+        else F.when(F.col("_moved"), stamps[c]).otherwise(F.col(c)).alias(c) if stamps and c in stamps else F.col(c) for c in finals.columns]
+    columns_of = batch.columns
+    rejected = unknown.select(*[c for c in columns_of if c in unknown.columns], "reason").unionByName(
+        taken.select(*[c for c in columns_of if c in taken.columns], "reason")).unionByName(unusable, allowMissingColumns=True)
+    return enrolments, moved.select(*columns), rejected
 
 
 def withdraw(course_user: DataFrame, finals: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +150,9 @@ def record_finals(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Save final marks with their GPA and notify the student of every accepted change."""
     now = _stamp(batch_ts)
-    accepted, rejected = _split(check_final_weight(db, batch))
+    usable, unusable = apply.validated(batch, FINAL_KEY)
+    accepted, rejected = _split(check_final_weight(db, usable))
+    rejected = rejected.unionByName(unusable, allowMissingColumns=True)
     graded = accepted.withColumn("gpa", gpa_from_mark(F.col("final_mark")))
     finals = apply.upsert(
         db.final_exams, graded, FINAL_KEY, ["final_mark", "gpa"],
@@ -125,14 +170,15 @@ def add_notes(
 ) -> tuple[DataFrame, DataFrame]:
     """Append advisor notes, addressed by student id or by matric number."""
     required = ["note", "meeting_date"] if by_matric else ["advisor_id", "student_id", "note"]
-    complete, rejected = required_fields(batch, required)
+    usable, unusable = apply.validated(batch, [])
+    complete, rejected = required_fields(usable, required)
     if by_matric:
         complete, unknown = resolve_matric(complete, users)
         rejected = rejected.unionByName(unknown)
     now = _stamp(batch_ts)
     rows = complete.withColumns({
         "id": apply.row_id(F.col("advisor_id"), F.col("student_id"), F.col("seq"), now), "created_at": now})
-    return apply.append(notes, rows), rejected
+    return apply.append(notes, rows), rejected.unionByName(unusable, allowMissingColumns=True)
 
 
 def delete_notes(notes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -142,13 +188,15 @@ def delete_notes(notes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame
 
 def add_courses(courses: DataFrame, batch: DataFrame, batch_ts: str) -> DataFrame:
     now = _stamp(batch_ts)
-    return apply.append(courses, batch.withColumns({
+    return apply.append(courses, _usable(batch, "courses").withColumns({
         "id": apply.row_id(F.col("course_code"), F.col("seq"), now), "created_at": now}))
 
 
 def add_users(users: DataFrame, batch: DataFrame, batch_ts: str) -> tuple[DataFrame, DataFrame]:
     """Append users that have a name, an email and a role."""
-    complete, rejected = required_fields(batch, ["name", "email", "role"])
+    usable, unusable = apply.validated(batch, [])
+    complete, rejected = required_fields(usable, ["name", "email", "role"])
+    rejected = rejected.unionByName(unusable, allowMissingColumns=True)
     rows = complete.withColumn("id", apply.row_id(F.col("email"), F.col("seq"), _stamp(batch_ts)))
     return apply.append(users, rows), rejected
 
@@ -157,10 +205,13 @@ def save_assessments(
     assessments: DataFrame, batch: DataFrame, batch_ts: str
 ) -> tuple[DataFrame, DataFrame]:
     """Insert (no id) and edit (id) assessments within the weight limit."""
-    accepted, rejected = _split(check_weights(assessments, batch))
+    usable, unusable = apply.validated(batch, ["course_id"])
+    accepted, rejected = _split(check_weights(assessments, usable))
+    rejected = rejected.unionByName(unusable, allowMissingColumns=True)
     edited = apply.update(
-        assessments, accepted.where("id IS NOT NULL"), "id", ["course_id", "title", "type", "max_mark", "weight"])
+        assessments, accepted.where("id IS NOT NULL"), "id", ["course_id", "title", "type", "max_mark", "weight"],
+        {"updated_at": _stamp(batch_ts)})
     now = _stamp(batch_ts)
     fresh = accepted.where("id IS NULL").withColumns({
-        "id": apply.row_id(F.col("course_id"), F.col("title"), F.col("seq"), now), "created_at": now})
+        "id": apply.row_id(F.col("course_id"), F.col("title"), F.col("seq"), now), "created_at": now, "updated_at": now})
     return apply.append(edited, fresh), rejected

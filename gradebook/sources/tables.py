@@ -11,6 +11,8 @@ from gradebook.sources.schema import TABLES
 
 # A dimension of at most this many narrow rows may be broadcast (about 10 MB).
 BROADCAST_ROWS = 100_000
+# Columns that are never read.
+SECRETS = {"password", "password_hash", "pin", "pin_hash", "salt", "secret", "token", "remember_token"}
 
 
 class Gradebook:
@@ -77,11 +79,19 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def load(spark: SparkSession, directory: str) -> Gradebook:
-    """Read the nine tables from ``directory/<table>`` Parquet with fixed schemas."""
-    reader = spark.read
-    return Gradebook(**{
-        name: reader.schema(schema).parquet(f"{directory}/{name}") for name, schema in TABLES.items()
-    })
+    """Read the nine tables from ``directory/<table>`` Parquet, in the types they are stored in.
+
+    The listed columns come first; a missing one is an error. Other stored columns follow, so that a table that is
+    written again loses nothing, except for those named in ``SECRETS``, which are never read.
+    """
+    def table(name: str, schema: str) -> DataFrame:
+        stored = spark.read.parquet(f"{directory}/{name}")
+        listed = [part.split()[0] for part in schema.split(", ")]
+        if missing := [c for c in listed if c not in stored.columns]:
+            raise ValueError(f"{name} lacks {missing}")
+        return stored.select(*listed, *[c for c in stored.columns if c not in listed and c.lower() not in SECRETS])
+
+    return Gradebook(**{name: table(name, schema) for name, schema in TABLES.items()})
 
 
 def load_jdbc(
