@@ -72,9 +72,9 @@ def save_remarks(remarks: DataFrame, batch: DataFrame, batch_ts: str) -> DataFra
 def request_remarks(remarks: DataFrame, batch: DataFrame, batch_ts: str) -> tuple[DataFrame, DataFrame]:
     """New recheck requests with a trimmed message; incomplete or repeated ones are rejected."""
     usable, unusable = apply.validated(batch, [])
-    shaped = lambda rows: rows.select("seq", *REMARK_KEY, clean_text(F.col("message")).alias("message"))
+    shaped = lambda rows, *more: rows.select("seq", *REMARK_KEY, clean_text(F.col("message")).alias("message"), *more)
     complete, incomplete = required_fields(shaped(usable), ["student_id", "assessment_id"], text=["message"])
-    incomplete = incomplete.unionByName(shaped(unusable).join(unusable.select("seq", "reason").distinct(), "seq", "left"))
+    incomplete = incomplete.unionByName(shaped(unusable, "reason"))
     added, repeated = apply.insert_unique(
         remarks, complete, REMARK_KEY, "A request for this assessment exists.",
         {"id": apply.row_id(*map(F.col, REMARK_KEY)), "status": F.lit("pending"), "created_at": _stamp(batch_ts)})
