@@ -20,9 +20,10 @@ COMMON_WORDS = [
     "que", "el", "y", "los", "del", "se", "las", "por",
 ]
 
-#: Distances (0 to 1) from which a document is rejected, and the words it must have for a verdict.
+#: Distances (0 to 1) from which a document is rejected, and the words it must have for a verdict. A text without any
+#: common word is 0.276 to 0.306 from its language in the given tables, so the limit of words lies below that.
 MOST_CLASS_DISTANCE = 0.30
-MOST_WORD_DISTANCE = 0.45
+MOST_WORD_DISTANCE = 0.27
 LEAST_WORDS = 50
 
 #: Classes whose shares are compared; foreign: bytes beyond the first of characters outside ASCII.

@@ -123,6 +123,18 @@ def test_quality(make):
     assert quality(make([]), keep=["doc_id"]).count() == 0
 
 
+def test_quality_of_texts_without_common_words(spark):
+    """Texts with the characters of their language and none of its words, and documents labelled good."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(8)
+    invented = ["".join(r.choice("aeihnorstuw") for _ in range(r.randint(4, 9))) for _ in range(90)]
+    junk = spark.createDataFrame([(-1 - i, " ".join(invented), x) for i, x in enumerate(("en", "de", "fr", "es"))], docs.schema)
+    found = {r.doc_id: r._quality for r in quality(docs.unionByName(junk), keep=["doc_id"]).collect()}
+    assert all(found[i].class_distance < 0.3 and not found[i].base_failed and not found[i].kept for i in range(-4, 0))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").collect()
+    assert all(found[r.doc_id].kept or found[r.doc_id].base_failed for r in labels if r.doc_id in found)
+
+
 def test_mixing(make):
     docs = HARD + [(1000 + i, prose(5 + i % 90, i)) for i in range(600)]
     frame = make(docs)
