@@ -105,6 +105,17 @@ def test_site_quality_held_out(spark):
     assert right >= 0.85 * len(found) and sum(r.kept for r in found if r.quality) >= 0.98 * sum(r.quality for r in found)
 
 
+def test_site_quality_catches_bad_documents(spark):
+    """Each half of the labels is judged by the other one."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = [
+        r for half in (0, 1) for r in site_quality(docs, labels.where(f"doc_id % 2 = {half}"))
+        .join(labels.where(f"doc_id % 2 = {1 - half}"), "doc_id").select("kept", "quality").collect()]
+    bad, good = ([r.kept for r in found if r.quality == q] for q in (0, 1))
+    print("kept of bad", sum(bad), len(bad), "kept of good", sum(good), len(good))
+    assert sum(bad) <= 0.3 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
 def test_site_quality_hard_cases(spark):
     docs = spark.createDataFrame([(1, "a b", None, None, 5), (1, "a b", None, None, 5), (None, None, "h", None, 5), (2, "", "h", "p", 5)],
                                  "doc_id bigint, text string, source string, lang string, n int")
