@@ -96,4 +96,77 @@ ORACLE: dict[str, str] = {
         least_ids AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
         SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, c.component_id = w.doc_id AS kept
         FROM w LEFT JOIN n USING (doc_id) JOIN least_ids c ON c.a = w.doc_id""",
+    "op11_hard_negatives": """
+        WITH usable AS MATERIALIZED (
+         SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+          list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+         FROM embeddings
+         WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS MATERIALIZED (
+         SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.q, c.q) AS BIGINT) AS score
+         FROM usable a, usable c WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+        positives AS (
+         SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+         QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10""",
+    "op12_runs": r"""
+        WITH RECURSIVE bits(b, k, c) AS (
+         SELECT range, 0, range FROM range(256)
+         UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+        crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+        sums AS MATERIALIZED (
+         SELECT doc_id, text, xor(4294967295, list_reduce(
+          list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+          lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h
+         FROM documents, crc),
+        plain AS MATERIALIZED (
+         SELECT doc_id, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS tail, w, CAST(len(w) AS BIGINT) AS n
+         FROM (SELECT *, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM sums)),
+        placed AS (SELECT *, CASE WHEN tail THEN g % n END AS a, CASE WHEN tail THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM plain),
+        words AS MATERIALIZED (
+         SELECT doc_id, n, i, w[1 + CASE WHEN tail AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+         FROM (SELECT *, unnest(range(0, n)) AS i FROM placed)),
+        same AS (
+         SELECT x.doc_id, x.i, x.i - y.i AS q FROM words x JOIN words y USING (doc_id, word) WHERE y.i < x.i AND 3 * (x.i - y.i) <= x.n),
+        stretches AS MATERIALIZED (
+         SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length
+         FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same)
+         GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+        runs AS MATERIALIZED (
+         SELECT * FROM stretches r WHERE NOT EXISTS (
+          SELECT 1 FROM stretches o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.start <= r.start AND o.start + o.length >= r.start + r.length)),
+        listed AS (
+         SELECT doc_id, count(*) AS n_runs,
+          string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines
+         FROM runs GROUP BY doc_id),
+        best AS (
+         SELECT r.* FROM runs r WHERE NOT EXISTS (
+          SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (
+           o.length * r.q > r.length * o.q OR (o.length * r.q = r.length * o.q AND (o.start, o.q) < (r.start, r.q))))),
+        dropped AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs),
+        kept AS (
+         SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+         CAST(1000 * length // q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+        FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_near_vectors": """
+        WITH RECURSIVE usable AS MATERIALIZED (
+         SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+         WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS MATERIALIZED (
+         SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+         WHERE list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) >= 0.98),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(b, e.vec_id)) AS component_id,
+         e.vec_id <= coalesce(b, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN least ON e.vec_id = least.a LEFT JOIN counts ON e.vec_id = counts.a""",
 }

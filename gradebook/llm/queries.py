@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradebook.llm.chat import chat_messages
 from gradebook.llm.decontaminate import contamination
+from gradebook.llm.hard_negatives import hard_negatives
 from gradebook.llm.licences import licences
 from gradebook.llm.mixing import mixed_copies
 from gradebook.llm.near_duplicates import near_duplicates
+from gradebook.llm.near_vectors import near_vectors
+from gradebook.llm.periodic_runs import periodic_runs
 from gradebook.llm.quality_rules import quality
 from gradebook.llm.site_quality import site_quality
 from gradebook.llm.substrings import repeated_substrings
@@ -112,6 +115,46 @@ def op10_minhash(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 100; labels of every seventh row are moved on by one."""
+    rows = _table(spark, directory, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("bigint")
+    return hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every tenth document by checksum the words from one on repeat with a period."""
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(checksum / 10).cast("bigint")
+
+    def tail(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        period = F.slice(words, a + 1, p)
+        copies = F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(copies, F.lit(1), n - a)), " ")
+
+    # The list of words is bound to a name once: transform() over a list of one.
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    changed = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, tail(w)).otherwise(F.lit("")))[0]
+    return docs.select("doc_id", F.when(checksum % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, directory: str) -> DataFrame:
+    found = periodic_runs(with_periodic_tails(_table(spark, directory, "documents")))
+    line = lambda r: F.concat_ws("", r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_near_vectors(spark: SparkSession, directory: str) -> DataFrame:
+    return near_vectors(_table(spark, directory, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
     "op2_site_quality": op2_site_quality,
@@ -123,4 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_surrogates": op9_surrogates,
     "op10_minhash": op10_minhash,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_runs": op12_runs,
+    "op13_near_vectors": op13_near_vectors,
 }

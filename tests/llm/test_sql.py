@@ -7,7 +7,7 @@ from gradebook.llm.oracle import ORACLE
 from gradebook.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
