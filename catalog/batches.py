@@ -17,14 +17,15 @@ BATCH_TS = "2024-01-15 08:00:00"
 
 SQL = {
     # Approved rechecks add a mark (none stays none), then lift low marks to 50;
-    # a student advised about a course gets 40 for its exercise.
+    # a student advised about a course gets 40 for its exercise; some get a half more, which whole marks cannot hold.
     "marks_batch": """
         SELECT m.id AS seq, m.assessment_id, m.student_id, CAST(m.mark_obtained + 1 AS DOUBLE) AS mark_obtained
         FROM marks m JOIN remark_requests r ON r.id = m.id WHERE r.status = 'approved'
         UNION ALL SELECT m.id + 1000000000000000, m.assessment_id, m.student_id, 50.0E0
         FROM marks m JOIN remark_requests r ON r.id = m.id WHERE r.status = 'approved' AND m.mark_obtained < 50
         UNION ALL SELECT n.id + 2000000000000000, a.id, n.student_id, 40.0E0
-        FROM advisor_notes n JOIN assessments a ON a.course_id = n.course_id WHERE a.type = 'exercise'""",
+        FROM advisor_notes n JOIN assessments a ON a.course_id = n.course_id WHERE a.type = 'exercise'
+        UNION ALL SELECT id + 3000000000000000, assessment_id, student_id, mark_obtained + 0.5E0 FROM marks WHERE id % 33 = 0""",
     # A student is enrolled in every course of their advisor notes.
     "enrol_batch": """
         SELECT id AS seq, student_id, course_id FROM advisor_notes WHERE course_id IS NOT NULL""",
@@ -98,11 +99,29 @@ SQL = {
          CAST(weight + 1 AS INT) FROM assessments WHERE title = 'Assessment 6' OR type = 'lab'
         UNION ALL SELECT id * 200 + 4, id, course_id, title, type, max_mark, CAST(75 AS INT) FROM assessments WHERE type = 'assignment'
         UNION ALL SELECT id * 200 + 5, id + 5000000000000, course_id, title, type, max_mark, weight FROM assessments WHERE type = 'quiz'""",
-    # Marks of which some lack a key or a place in the order, and some share one.
-    "broken_marks": """
+    # Marks of which some lack a key or a place in the order, some share one, and some are no whole numbers.
+    "unclear_marks": """
         SELECT CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 < 3 THEN id - id % 7 + 1 ELSE id END AS seq,
          CASE WHEN id % 11 = 0 THEN NULL ELSE assessment_id END AS assessment_id,
-         CASE WHEN id % 13 = 0 THEN NULL ELSE student_id END AS student_id, CAST(mark_obtained AS DOUBLE) AS mark_obtained FROM marks""",
+         CASE WHEN id % 13 = 0 THEN NULL ELSE student_id END AS student_id,
+         mark_obtained + CASE WHEN id % 17 = 0 THEN 0.5E0 ELSE 0.0E0 END AS mark_obtained FROM marks""",
+    # Lines of marks: some are texts, some no numbers, some no whole ones; some lack their student, some are cut off.
+    "mark_lines": """
+        SELECT concat(chr(123), '"seq": ', CAST(id AS VARCHAR(20)), ', "assessment_id": ', CAST(assessment_id AS VARCHAR(20)),
+         CASE WHEN id % 7 = 0 THEN '' ELSE concat(', "student_id": ', CAST(student_id AS VARCHAR(20))) END, ', "mark_obtained": ',
+         CASE WHEN mark_obtained IS NULL THEN 'null' WHEN id % 5 = 0 THEN '"abc"' WHEN id % 5 = 1 THEN concat('" ', CAST(mark_obtained AS VARCHAR(20)), ' "')
+          WHEN id % 5 = 2 THEN concat(CAST(mark_obtained AS VARCHAR(20)), '.5') ELSE CAST(mark_obtained AS VARCHAR(20)) END,
+         CASE WHEN id % 19 = 0 THEN '' ELSE chr(125) END) AS value FROM marks""",
+    # Tables with broken keys: courses and users are missing, marks repeat, students are unknown.
+    "broken_users": """
+        SELECT * FROM users WHERE id % 13 <> 0""",
+    "broken_courses": """
+        SELECT * FROM courses WHERE id % 6 <> 0""",
+    "broken_marks": """
+        SELECT * FROM marks UNION ALL SELECT id + 5000000000000, assessment_id, student_id, mark_obtained, created_at FROM marks WHERE id % 29 = 0
+        UNION ALL SELECT id, assessment_id + 900000, student_id, mark_obtained, created_at FROM marks WHERE id % 31 = 0""",
+    "broken_final_exams": """
+        SELECT id, course_id, CASE WHEN id % 17 = 0 THEN NULL ELSE student_id END AS student_id, final_mark, gpa FROM final_exams""",
     # Every ungraded mark supposed to be 40; every mark supposed to be one better.
     "scenarios": """
         SELECT CAST(1 AS BIGINT) AS scenario_id, student_id, assessment_id, 40.0E0 AS mark_obtained

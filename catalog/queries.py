@@ -14,12 +14,15 @@ from gradebook.functions.numbers import from_points, reported
 from gradebook.functions.scores import score_percent
 from gradebook.functions.text import exam_notice
 from gradebook.operators import aggregates as agg
-from gradebook.operators import facts, filters, joins, quality
+from gradebook.operators import audit, facts, filters, joins, quality
 from gradebook.operators import rankings as rank
 from gradebook.operators.changes import delete, update
 from gradebook.plans import maintenance, reports, whatif
+from gradebook.sources.checkpoints import new_folder
+from gradebook.sources.schema import BATCHES
 from gradebook.sources.star import derive
-from gradebook.sources.tables import Gradebook
+from gradebook.sources.tables import Gradebook, read_changes
+from gradebook.sources.versions import VersionedTable
 
 
 @lru_cache(maxsize=4)
@@ -219,8 +222,60 @@ def move_enrolments_rejects(db: Gradebook) -> DataFrame:
     return maintenance.move_enrolments(db.course_user, db.final_exams, batch(db, "move_batch"))[2].select("id", "reason")
 
 
+def rejected_lines(db: Gradebook) -> DataFrame:
+    """A batch of lines written and read again, of which some fields cannot be read or stored."""
+    path = new_folder(db.spark, "lines")
+    batch(db, "mark_lines").write.text(path)
+    lines = read_changes(db.spark, path, BATCHES["marks"])
+    return maintenance.rejected_changes(lines, "marks", db.marks).select("seq", "assessment_id", "student_id", "reason")
+
+
+def _versioned(rows: DataFrame, keys: list[str]) -> VersionedTable:
+    return VersionedTable.create(rows, new_folder(rows.sparkSession, "versions"), keys, id_col="id", rows_per_file=20_000)
+
+
+def versioned_marks(db: Gradebook) -> DataFrame:
+    """The latest version of a stored table after an upsert of its touched files."""
+    table = _versioned(db.marks, maintenance.MARK_KEY)
+    table.rewrite(batch(db, "marks_batch"), lambda marks, changes: maintenance.save_marks(marks, changes, BATCH_TS))
+    return table.read().drop("id")
+
+
+def earlier_marks(db: Gradebook) -> DataFrame:
+    """The first version of a stored table, read after an upsert, a delete and a compaction."""
+    table = _versioned(db.marks, maintenance.MARK_KEY)
+    table.rewrite(batch(db, "marks_batch"), lambda marks, changes: maintenance.save_marks(marks, changes, BATCH_TS))
+    table.delete(batch(db, "unassign_batch"))
+    table.compact()
+    return table.read(1)
+
+
+def unassigned_marks(db: Gradebook) -> DataFrame:
+    """Marks merged with their delete vectors when read."""
+    table = _versioned(db.marks, maintenance.MARK_KEY)
+    table.delete(batch(db, "unassign_batch"))
+    return table.read()
+
+
+def unassigned_marks_outcome(db: Gradebook) -> DataFrame:
+    return _versioned(db.marks, maintenance.MARK_KEY).delete(batch(db, "unassign_batch"))[1]
+
+
+def numbered_exams(db: Gradebook) -> DataFrame:
+    """Exam rows of new enrolments, their ids numbered on from the highest."""
+    table = _versioned(db.final_exams, maintenance.FINAL_KEY)
+    table.rewrite(
+        batch(db, "enrol_batch"), lambda exams, changes: maintenance.enrol(db.course_user, exams, changes, BATCH_TS)[1], new_ids="id")
+    return table.read()
+
+
+def broken_key_audit(db: Gradebook) -> DataFrame:
+    """The audit of tables that lack courses and users, repeat marks and miss students."""
+    return audit.key_audit(db.replace(**{name: batch(db, f"broken_{name}") for name in ("users", "courses", "marks", "final_exams")}))
+
+
 def rejected_changes(db: Gradebook) -> DataFrame:
-    return maintenance.rejected_changes(batch(db, "broken_marks"), "marks").select("seq", "assessment_id", "student_id", "reason")
+    return maintenance.rejected_changes(batch(db, "unclear_marks"), "marks", db.marks).select("seq", "assessment_id", "student_id", "reason")
 
 
 def withdraw_batch(db: Gradebook) -> DataFrame:
@@ -343,6 +398,14 @@ _ON_TABLES: dict[str, Callable[[Gradebook], DataFrame]] = {
     "move_enrolments_finals": move_enrolments_finals,
     "move_enrolments_rejects": move_enrolments_rejects,
     "rejected_changes": rejected_changes,
+    "rejected_lines": rejected_lines,
+    "versioned_marks": versioned_marks,
+    "earlier_marks": earlier_marks,
+    "unassigned_marks": unassigned_marks,
+    "unassigned_marks_outcome": unassigned_marks_outcome,
+    "numbered_exams": numbered_exams,
+    "key_audit": audit.key_audit,
+    "broken_key_audit": broken_key_audit,
     "withdraw_batch": withdraw_batch,
     "record_finals": record_finals,
     "record_finals_notices": record_finals_notices,

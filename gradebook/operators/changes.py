@@ -1,7 +1,7 @@
 """Batches of changes applied to a table.
 
 Each function is pure: (base, changes) -> new base. Changes carry ``seq``, their
-order of arrival, and are first reduced per key. A batch that is shown to be
+order of arrival, and are first reduced per key and written once to the checkpoint folder. A batch that is shown to be
 small is broadcast, so the table is not shuffled; a larger one meets the table
 in a single shuffle on the key.
 """
@@ -16,6 +16,7 @@ from pyspark.sql.types import DataType
 
 from gradebook.operators.joins import already_present
 from gradebook.operators.keyed import first_per_key, last_per_key
+from gradebook.sources.checkpoints import written_once
 from gradebook.sources.tables import BROADCAST_ROWS, checked_broadcast, has_at_most
 
 # Reasons of rejected changes.
@@ -47,22 +48,38 @@ def append(base: DataFrame, rows: DataFrame) -> DataFrame:
     return base.unionByName(rows.select(*kept), allowMissingColumns=True)
 
 
-def validated(batch: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def validated(batch: DataFrame, keys: Sequence[str], base: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The usable changes of a batch, and the others with a reason.
 
-    Not usable are lines that could not be read, changes that lack a key or ``seq``, and all changes that
+    Not usable are lines that could not be read, as a whole or in a field, changes that lack a key or ``seq``, with ``base``
+    also changes of which a column of that table cannot hold a value, and all changes that
     share a ``seq``, as their order is unknown.
     """
-    unread = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in batch.columns else F.lit(False)
-    repeated = batch.groupBy("seq").agg(F.count("*").alias("_times")).where("_times > 1").select("seq", F.lit(True).alias("_repeated"))
-    reason = F.when(unread, UNREADABLE)
+    reason = F.when(F.col("_corrupt_record").isNotNull() if "_corrupt_record" in batch.columns else F.lit(False), UNREADABLE)
+    if "_rejected" in batch.columns:
+        reason = reason.when(F.col("_rejected").isNotNull(), F.col("_rejected"))
     for name in ["seq", *keys]:
         reason = reason.when(F.col(name).isNull(), f"{name} is required")
+    for f in base.schema if base is not None else []:
+        if f.name in batch.columns and batch.schema[f.name].dataType != f.dataType:
+            lost = F.concat(F.lit(f"{f.name} cannot hold "), F.col(f.name).cast("string"))
+            reason = reason.when(~_holds(F.col(f.name), batch.schema[f.name].dataType, f.dataType), lost)
+    repeated = batch.groupBy("seq").agg(F.count("*").alias("_times")).where("_times > 1").select("seq", F.lit(True).alias("_repeated"))
     marked = batch.join(repeated, "seq", "left").withColumn("reason", reason.when(F.col("_repeated"), REPEATED)).drop("_repeated")
-    columns = [c for c in batch.columns if c != "_corrupt_record"]
+    columns = [c for c in batch.columns if c not in {"_corrupt_record", "_rejected"}]
     return marked.where("reason IS NULL").select(*columns), marked.where("reason IS NOT NULL").select(*batch.columns, "reason")
 
 
+def _holds(value: Column, given: DataType, wanted: DataType) -> Column:
+    """Whether the type can hold the value; NULL fits everywhere."""
+    return value.isNull() | F.coalesce(value.try_cast(wanted).try_cast(given) == value, F.lit(False))
+
+
+def _once(changes: DataFrame) -> DataFrame:
+    """A reduced batch, written so that measuring it and every join read the result and not the batch again."""
+    return written_once(changes, "batch")
+
+
 def _with_values(rows: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     return rows.withColumns(dict(values)) if values else rows
 
@@ -86,7 +103,7 @@ def update(
 ) -> DataFrame:
     """Overwrite ``columns`` of the rows whose key is in the batch; ``stamps`` are set there if the base has the column."""
     keys = [key] if isinstance(key, str) else list(key)
-    latest = last_per_key(changes.select("seq", *keys, *columns), keys)
+    latest = _once(last_per_key(changes.select("seq", *keys, *columns), keys))
     values = {**{c: F.col(c) for c in columns}, **{c: v for c, v in (stamps or {}).items() if c in base.columns}}
     hits = checked_broadcast(_as_hits(base, latest, keys, values))
     return base.join(hits, keys, "left").select(*_taken_over(base, values))
@@ -107,11 +124,11 @@ def upsert(
     """
     keys = list(keys)
     stamps = {c: v for c, v in (stamps or {}).items() if c in base.columns}
-    latest = last_per_key(changes.select("seq", *keys, *columns), keys)
+    latest = _once(last_per_key(changes.select("seq", *keys, *columns), keys))
     values = {**{c: F.col(c) for c in columns}, **stamps}
     inserts = {**(defaults or {}), **stamps}
     hits = _as_hits(base, latest, keys, values)
-    if has_at_most(changes.select(*keys), BROADCAST_ROWS):
+    if has_at_most(latest, BROADCAST_ROWS):
         updated = base.join(F.broadcast(hits), keys, "left").select(*_taken_over(base, values))
         _, fresh = already_present(latest, base, keys, small=True)
         return append(updated, _with_values(fresh, inserts))
@@ -126,7 +143,7 @@ def insert_ignore(
     base: DataFrame, changes: DataFrame, keys: Sequence[str], defaults: Mapping[str, Column] | None = None
 ) -> DataFrame:
     """Insert the first change of each key that does not exist yet."""
-    first = first_per_key(changes, list(keys), [F.asc("seq")])
+    first = _once(first_per_key(changes, list(keys), [F.asc("seq")]))
     _, fresh = already_present(first, base, list(keys))
     return append(base, _with_values(fresh, defaults or {}))
 
@@ -144,6 +161,7 @@ def insert_unique(
     and rows are then matched on (key, seq), so a hot key is never gathered.
     """
     keys = list(keys)
+    changes = _once(changes)
     winners = changes.groupBy(*keys).agg(F.min("seq").alias("seq"))
     _, fresh = already_present(winners, base, keys)
     accepted = changes.join(fresh, [*keys, "seq"], "left_semi")
@@ -154,7 +172,7 @@ def insert_unique(
 def delete(base: DataFrame, requests: DataFrame, keys: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Remove the rows whose key is requested; also report per requested key whether a row matched."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    wanted = requests.select(*keys).distinct()
+    wanted = _once(requests.select(*keys).distinct())
     side = checked_broadcast(wanted)
     found = base.select(*keys).join(side, keys, "left_semi").distinct().withColumn("_found", F.lit(True))
     outcome = wanted.join(found, keys, "left").select(*keys, F.col("_found").isNotNull().alias("success"))

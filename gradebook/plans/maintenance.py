@@ -38,27 +38,30 @@ BATCH_KEYS = {
 }
 
 
-def rejected_changes(batch: DataFrame, kind: str) -> DataFrame:
-    """The changes of a batch that every function here leaves out, with a reason; see ``validated``."""
-    return apply.validated(batch, BATCH_KEYS[kind])[1]
+def rejected_changes(batch: DataFrame, kind: str, base: DataFrame | None = None) -> DataFrame:
+    """The changes of a batch that every function here leaves out, with a reason; see ``validated``.
+
+    With ``base``, the table they are meant for, also those with values that it cannot hold.
+    """
+    return apply.validated(batch, BATCH_KEYS[kind], base)[1]
 
 
-def _usable(batch: DataFrame, kind: str) -> DataFrame:
-    return apply.validated(batch, BATCH_KEYS[kind])[0]
+def _usable(batch: DataFrame, kind: str, base: DataFrame | None = None) -> DataFrame:
+    return apply.validated(batch, BATCH_KEYS[kind], base)[0]
 
 
 def save_marks(marks: DataFrame, batch: DataFrame, batch_ts: str) -> DataFrame:
-    """Set or insert marks."""
+    """Set or insert marks; those that the table cannot hold, as a fraction in a column of whole numbers, are left out."""
     now = _stamp(batch_ts)
     return apply.upsert(
-        marks, _usable(batch, "marks"), MARK_KEY, ["mark_obtained"],
+        marks, _usable(batch, "marks", marks), MARK_KEY, ["mark_obtained"],
         defaults={"id": apply.row_id(*map(F.col, MARK_KEY)), "created_at": now}, stamps={"updated_at": now})
 
 
 def assign_marks(marks: DataFrame, batch: DataFrame, batch_ts: str) -> DataFrame:
     """Insert ungraded marks rows where none exist."""
     return apply.insert_ignore(
-        marks, _usable(batch, "marks").select("seq", *MARK_KEY), MARK_KEY,
+        marks, _usable(batch.drop("mark_obtained"), "marks").select("seq", *MARK_KEY), MARK_KEY,
         {"id": apply.row_id(*map(F.col, MARK_KEY)), "created_at": _stamp(batch_ts)})
 
 
@@ -150,7 +153,7 @@ def record_finals(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Save final marks with their GPA and notify the student of every accepted change."""
     now = _stamp(batch_ts)
-    usable, unusable = apply.validated(batch, FINAL_KEY)
+    usable, unusable = apply.validated(batch, FINAL_KEY, db.final_exams)
     accepted, rejected = _split(check_final_weight(db, usable))
     rejected = rejected.unionByName(unusable, allowMissingColumns=True)
     graded = accepted.withColumn("gpa", gpa_from_mark(F.col("final_mark")))
@@ -205,7 +208,7 @@ def save_assessments(
     assessments: DataFrame, batch: DataFrame, batch_ts: str
 ) -> tuple[DataFrame, DataFrame]:
     """Insert (no id) and edit (id) assessments within the weight limit."""
-    usable, unusable = apply.validated(batch, ["course_id"])
+    usable, unusable = apply.validated(batch, ["course_id"], assessments)
     accepted, rejected = _split(check_weights(assessments, usable))
     rejected = rejected.unionByName(unusable, allowMissingColumns=True)
     edited = apply.update(

@@ -31,10 +31,19 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to a new place in the checkpoint folder, read back from there.
 
     Unlike a checkpoint the copy is columnar: later scans prune columns, push
-    filters down and know the size of the table.
+    filters down and know the size of the table. It is removed when the application ends.
     """
-    spark = df.sparkSession
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the checkpoint folder that is not used yet; what is written there is removed when the application ends."""
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path

@@ -25,3 +25,10 @@ BATCHES = {
     "notes": "seq BIGINT, advisor_id BIGINT, student_id BIGINT, matric_number STRING, course_id BIGINT, note STRING, meeting_date TIMESTAMP_NTZ",
     "scenarios": "scenario_id BIGINT, student_id BIGINT, assessment_id BIGINT, mark_obtained DOUBLE",
 }
+
+#: The columns by which a stored table's files are ordered and its changes find their rows.
+KEYS = {
+    "users": ["id"], "courses": ["id"], "course_user": ["id"], "assessments": ["id"], "marks": ["assessment_id", "student_id"],
+    "final_exams": ["course_id", "student_id"], "remark_requests": ["student_id", "assessment_id"], "notifications": ["id"],
+    "advisor_notes": ["id"],
+}

@@ -58,9 +58,33 @@ def test_every_change_keeps_the_table(spark, stored, tmp_path):
     assert rows(moved, "id", "course_id", "updated_at") == [(101, 2, NOW), (201, 1, T0)]
 
 
-def test_a_value_that_does_not_fit_stops_the_job(spark, stored):
-    with pytest.raises(Exception, match="mark_obtained cannot hold 8.5"):
-        m.save_marks(stored.marks, batch(spark, "marks", [(1, 11, 1, 8.5)]), TS).collect()
+def test_a_value_that_does_not_fit_is_left_out_and_reported(spark, stored):
+    changes_ = batch(spark, "marks", [(1, 11, 1, 8.5), (2, 11, 2, 7.0), (3, 12, 1, 1e30)])
+    assert rows(m.save_marks(stored.marks, changes_, TS), "student_id", "mark_obtained") == [(1, 5), (2, 7)]
+    assert rows(m.rejected_changes(changes_, "marks", stored.marks), "seq", "reason") == [
+        (1, "mark_obtained cannot hold 8.5"), (3, "mark_obtained cannot hold 1.0E30")]
+    finals = batch(spark, "finals", [(1, 1, 1, 80.5, 25.0), (2, 1, 2, 60.0, 25.0)])
+    out, notices, rejected = m.record_finals(stored, finals, TS)
+    assert rows(out, "student_id", "final_mark") == [(1, 10), (2, 60)] and rows(notices, "user_id") == [(2,)]
+    assert rows(rejected, "seq", "reason") == [(1, "final_mark cannot hold 80.5")]
+
+
+def test_a_table_of_fractions_takes_them(spark, stored):
+    fractions = stored.marks.withColumn("mark_obtained", F.col("mark_obtained").cast("double"))
+    assert rows(m.save_marks(fractions, batch(spark, "marks", [(1, 11, 1, 8.5)]), TS), "mark_obtained") == [(8.5,)]
+
+
+def test_bad_fields_are_reported_and_the_rest_is_applied(spark, stored, tmp_path):
+    file = tmp_path / "fields.json"
+    file.write_text(
+        '{"seq": 1, "assessment_id": 11, "student_id": 1, "mark_obtained": "abc"}\n{"seq": 2, "assessment_id": 1.5, "student_id": 1}\n'
+        '{"seq": 3, "assessment_id": 11, "student_id": 2, "mark_obtained": "9"}\n{"seq": 4, "assessment_id": 11, "student_id": 3, "mark_obtained": 72.5}\n'
+        '{"seq": 5, "student_id": 3, "mark_obtained": 72}\n')
+    read = read_changes(spark, str(file), BATCHES["marks"])
+    assert rows(m.rejected_changes(read, "marks", stored.marks), "seq", "reason") == [
+        (1, 'mark_obtained needs a number: "abc"'), (2, "assessment_id needs a whole number: 1.5"), (4, "mark_obtained cannot hold 72.5"),
+        (5, "assessment_id is required")]
+    assert rows(m.save_marks(stored.marks, read, TS), "student_id", "mark_obtained") == [(1, 5), (2, 9)]
 
 
 def test_unusable_lines_never_reach_a_table(spark, stored, tmp_path):
