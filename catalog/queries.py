@@ -14,12 +14,14 @@ from gradebook.functions.numbers import from_points, reported
 from gradebook.functions.scores import score_percent
 from gradebook.functions.text import exam_notice
 from gradebook.operators import aggregates as agg
-from gradebook.operators import audit, facts, filters, joins, quality
+from gradebook.operators import audit, facts, filters, joins, keyed, quality
 from gradebook.operators import rankings as rank
 from gradebook.operators.changes import delete, update
 from gradebook.plans import maintenance, reports, whatif
+from gradebook.plans.upkeep import Upkeep
 from gradebook.sources.checkpoints import new_folder
 from gradebook.sources.schema import BATCHES
+from gradebook.sources.sinks import to_report_json
 from gradebook.sources.star import derive
 from gradebook.sources.tables import Gradebook, read_changes
 from gradebook.sources.versions import VersionedTable
@@ -269,6 +271,19 @@ def numbered_exams(db: Gradebook) -> DataFrame:
     return table.read()
 
 
+@lru_cache(maxsize=2)
+def _kept(db: Gradebook) -> Upkeep:
+    """Stored sums that were made before a batch of marks and one of final marks and followed both."""
+    kept = Upkeep.create(db, new_folder(db.spark, "upkeep"), rows_per_file=5_000)
+    marks, exams = _versioned(db.marks, maintenance.MARK_KEY), _versioned(db.final_exams, maintenance.FINAL_KEY)
+    marks.rewrite(batch(db, "marks_batch"), lambda rows, changes: maintenance.save_marks(rows, changes, BATCH_TS))
+    kept.follow(db, {"marks": marks.difference(1, 2)})
+    finals = batch(db, "finals_batch")
+    exams.rewrite(finals, lambda rows, changes: maintenance.record_finals(db.replace(final_exams=rows), changes, BATCH_TS)[0])
+    kept.follow(db, {"final_exams": exams.difference(1, 2)})
+    return kept
+
+
 def broken_key_audit(db: Gradebook) -> DataFrame:
     """The audit of tables that lack courses and users, repeat marks and miss students."""
     return audit.key_audit(db.replace(**{name: batch(db, f"broken_{name}") for name in ("users", "courses", "marks", "final_exams")}))
@@ -406,6 +421,15 @@ _ON_TABLES: dict[str, Callable[[Gradebook], DataFrame]] = {
     "numbered_exams": numbered_exams,
     "key_audit": audit.key_audit,
     "broken_key_audit": broken_key_audit,
+    "kept_student_totals": lambda db: _kept(db).student_totals(db),
+    "kept_cgpa_per_student": lambda db: _kept(db).cgpa_per_student(),
+    "kept_avg_completion_by_course": lambda db: _kept(db).avg_completion_by_course(db),
+    "kept_avg_final_by_course": lambda db: _kept(db).avg_final_by_course(db),
+    "kept_avg_gpa_by_course": lambda db: _kept(db).avg_gpa_by_course(db),
+    "kept_overall_averages": lambda db: _kept(db).overall_averages(),
+    "kept_completion_brackets": lambda db: _kept(db).completion_brackets(),
+    "kept_cgpa_distribution": lambda db: _kept(db).cgpa_distribution(),
+    "kept_average_completion": lambda db: _kept(db).average_completion(),
     "withdraw_batch": withdraw_batch,
     "record_finals": record_finals,
     "record_finals_notices": record_finals_notices,
@@ -428,11 +452,13 @@ _ON_TABLES: dict[str, Callable[[Gradebook], DataFrame]] = {
     "mark_entry_sheet_items": mark_entry_sheet_items,
     "final_exam_card_items": final_exam_card_items,
     "what_if_items": what_if_items,
-    "student_dashboard": reports.student_dashboard,
-    "rankings_report": reports.rankings_report,
-    "student_profile": reports.student_profile,
-    "my_marks": reports.my_marks,
-    "assignment_grid_nested": reports.assignment_grid_nested,
+    "student_dashboard": lambda db: to_report_json(reports.student_dashboard(db)),
+    "rankings_report": lambda db: to_report_json(reports.rankings_report(db)),
+    "student_profile": lambda db: to_report_json(reports.student_profile(db)),
+    "my_marks": lambda db: to_report_json(reports.my_marks(db)),
+    "assignment_grid_nested": lambda db: to_report_json(reports.assignment_grid_nested(db)),
+    "lecturer_analytics_page": lambda db: to_report_json(reports.lecturer_analytics_page(db)),
+    "restricted_marks": lambda db: keyed.restrict(db.marks, batch(db, "header_pairs").select("student_id").distinct(), "student_id"),
 }
 
 

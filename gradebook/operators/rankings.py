@@ -86,8 +86,10 @@ def recent_notifications(db: Gradebook, n: int = 5) -> DataFrame:
 
 
 def recent_notes(db: Gradebook, n: int = 5) -> DataFrame:
-    rows = db.advisor_notes.select("id", "student_id", "note", "meeting_date")
-    return recent_per_key(rows, "student_id", "meeting_date", n)
+    """The newest notes by creation where the table has that column, else by meeting."""
+    stamp = "created_at" if "created_at" in db.advisor_notes.columns else "meeting_date"
+    rows = db.advisor_notes.select("id", "student_id", "note", "meeting_date", F.col(stamp).alias("_stamp"))
+    return recent_per_key(rows, "student_id", "_stamp", n).drop("_stamp")
 
 
 def recent_remarks(db: Gradebook, n: int = 5) -> DataFrame:
@@ -172,10 +174,14 @@ def notification_feed(db: Gradebook, keys: DataFrame | None = None) -> DataFrame
 
 
 def note_feed(db: Gradebook, keys: DataFrame | None = None, course_id: int | None = None) -> DataFrame:
-    """Advisor notes of each student, newest meeting first, optionally of one course."""
+    """Advisor notes of each student, newest first, optionally of one course.
+
+    They are ordered by creation where the table has that column, else by meeting.
+    """
     rows = optional_filter(db.advisor_notes, course_id=course_id)
     rows = rows if keys is None else rows.join(keys, "student_id", "left_semi")
-    return rows.orderBy("student_id", F.desc("meeting_date"), F.desc("id"))
+    stamp = "created_at" if "created_at" in rows.columns else "meeting_date"
+    return rows.orderBy("student_id", F.desc(stamp), F.desc("id"))
 
 
 def course_catalog(db: Gradebook, by_term: bool = False) -> DataFrame:

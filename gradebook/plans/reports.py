@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from gradebook.operators.joins import (
     people,
     student_course_header,
 )
+from gradebook.sources.checkpoints import written_once
 from gradebook.sources.tables import Gradebook
 
 RANKING_PAGE = 1000
@@ -39,10 +39,9 @@ def _sorted_list(order: Column, *columns: str | Column) -> Column:
 def lecturer_analytics(db: Gradebook) -> dict[str, DataFrame]:
     """The parts of the analytics page, each as a small DataFrame.
 
-    Student totals feed three of them and are kept once; ``unpersist`` the frame
-    under ``student_totals`` when done.
+    Student totals feed three of them and are written once.
     """
-    totals = agg.student_totals(db).persist(StorageLevel.MEMORY_AND_DISK)
+    totals = written_once(agg.student_totals(db), "student_totals")
     return {
         "summary": _summary(db, totals),
         "pie": agg.students_by_course(db),
@@ -51,10 +50,23 @@ def lecturer_analytics(db: Gradebook) -> dict[str, DataFrame]:
         "gpa": agg.avg_gpa_by_course(db),
         "top_students": rank.top_students_by_completion(db, totals=totals),
         "doughnut": agg.completion_brackets(db, totals),
-        "student_totals": totals,
     }
 
 
+def lecturer_analytics_page(db: Gradebook) -> DataFrame:
+    """The whole analytics page as one row: the summary, lists by course name, the best students and the brackets."""
+    parts = lecturer_analytics(db)
+    lists = [
+        parts[name].agg(_sorted_list(F.col("course_name"), *[c for c in parts[name].columns if c != "course_name"]).alias(field))
+        for name, field in (("pie", "pieData"), ("bar", "barData"), ("line", "lineData"), ("gpa", "gpaData"))]
+    best = parts["top_students"].select((-F.col("total_completion")).alias("_order"), *parts["top_students"].columns)
+    entries = F.array_sort(F.collect_list(F.struct(*best.columns)))
+    top = best.agg(F.transform(entries, lambda x: x.dropFields("_order")).alias("topStudents"))
+    brackets = parts["doughnut"].agg(_sorted_list(F.col("bracket"), "student_count").alias("doughnutData"))
+    summary = parts["summary"].select(F.struct(*parts["summary"].columns).alias("summary"))
+    return agg.one_row([summary, *lists, top, brackets])
+
+
 def _summary(db: Gradebook, totals: DataFrame) -> DataFrame:
     return agg.one_row([
         agg.distinct_students(db),

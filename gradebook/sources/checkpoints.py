@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from typing import NamedTuple
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written inside ``passing_tables``; None outside.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the session's ``spark.checkpoint.dir``; fall back to a scratch folder in local mode only."""
@@ -38,12 +45,58 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are removed at the end, but for those of ``kept_table``.
+
+    Nothing that still reads them may be used afterwards. Checkpoints stay.
+    """
+    before = _passing.set([])
+    try:
+        yield
+    finally:
+        folders = _passing.get()
+        _passing.reset(before)
+        for path in folders:
+            _folder_of(spark, path).delete()
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """``written_once``, inside ``passing_tables`` for a table that outlives it."""
+    mine = _passing.set(None)
+    try:
+        return written_once(df, name)
+    finally:
+        _passing.reset(mine)
+
+
+def remove_table(df: DataFrame) -> None:
+    """Remove what ``written_once`` or ``kept_table`` wrote for ``df``, which must not be read afterwards."""
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        _folder_of(df.sparkSession, path).delete()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the checkpoint folder that is not used yet; what is written there is removed when the application ends."""
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid4().hex}/{name}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(folder)
-    files.deleteOnExit(folder)
+    folder = _folder_of(spark, path)
+    folder.files.mkdirs(folder.path)
+    folder.files.deleteOnExit(folder.path)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     return path
+
+
+class _Folder(NamedTuple):
+    files: object
+    path: object
+
+    def delete(self) -> None:
+        self.files.delete(self.path, True)
+
+
+def _folder_of(spark: SparkSession, path: str) -> _Folder:
+    """The folder that ``new_folder`` made for a path, in its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    return _Folder(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder)

@@ -1,8 +1,10 @@
 """Where checkpoints and written tables go."""
 
+from pathlib import Path
+
 import pytest
 
-from gradebook.sources.checkpoints import ensure_checkpoint_dir, written_once
+from gradebook.sources.checkpoints import ensure_checkpoint_dir, kept_table, passing_tables, remove_table, written_once
 
 
 class Context:
@@ -47,3 +49,23 @@ def test_a_written_table_is_read_back_whole(spark):
     copy = written_once(frame, "numbers")
     assert copy.exceptAll(frame).count() == 0 and copy.count() == 1000
     assert "FileScan parquet" in copy._jdf.queryExecution().executedPlan().toString()
+
+
+def folder_of(df):
+    return Path(df.inputFiles()[0].removeprefix("file://")).parent
+
+
+def test_passing_tables_are_removed(spark):
+    with passing_tables(spark):
+        step = folder_of(written_once(spark.range(9), "step"))
+        kept = kept_table(spark.range(8), "kept")
+        last = folder_of(written_once(kept, "last"))
+        assert step.exists() and last.exists()
+    assert not step.exists() and not last.exists() and kept.count() == 8
+    place = folder_of(kept)
+    remove_table(kept)
+    assert not place.exists()
+    with pytest.raises(ZeroDivisionError), passing_tables(spark):
+        step = folder_of(written_once(spark.range(9), "step"))
+        1 / 0
+    assert not step.exists() and folder_of(written_once(spark.range(1), "outside")).exists()

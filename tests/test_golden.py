@@ -214,7 +214,6 @@ def test_analytics_parts(spark):
         (2, 1, 0, 40.0, 100.0, 4.0)]
     assert rows(parts["top_students"], "student_id", "total_completion") == [(1, 80.0), (2, 0.0)]
     assert rows(parts["doughnut"]) == [("0-25%", 1), ("26-50%", 0), ("51-75%", 0), ("76-100%", 1)]
-    parts["student_totals"].unpersist()
 
 
 def test_feeds_by_matric_number(spark):
