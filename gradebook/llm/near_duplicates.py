@@ -14,7 +14,7 @@ from gradebook.llm.bitmaps import bitmap, passes
 from gradebook.llm.names import unused
 from gradebook.llm.tokens import NOT_SPACE, mixed, pieces, shingles, words_of
 from gradebook.operators.graphs import components
-from gradebook.sources.checkpoints import checkpointed, written_once
+from gradebook.sources.checkpoints import kept_table, passing_tables, written_once
 
 
 class Banding(NamedTuple):
@@ -29,8 +29,6 @@ class Banding(NamedTuple):
     depth: int = 3
 
 
-#: Rounds in which every document is compared with one document that it shares tables with.
-STAR_ROUNDS = 2
 #: Nodes on either side of a tile in which sets are compared; a tile's sets are in memory together.
 TILE = 512
 
@@ -47,8 +45,9 @@ def near_duplicates(
     empty set and is linked with nothing.
 
     Method: equal sets are one node. The keys of the tables are all pairs of one
-    sub-key of either collection. In rounds, each node is compared with one other
-    node of its tables; then the nodes that share a table and still lie in
+    sub-key of either collection. Nodes with too many shingles of their own to be linked with
+    any other leave at once. Each other node is compared with the one node that it meets first in most
+    tables; then the nodes that share a table and still lie in
     different components are compared in tiles of bounded size. Pairs inside one
     component cannot change the result and are skipped. Links are confirmed on the full sets.
 
@@ -59,6 +58,20 @@ def near_duplicates(
     is never the smallest unless the component has no other. Other columns are not looked at.
     """
     signatures = written_once(_signatures(docs, id_col, text_col, shingle, banding), "signatures")
+    with passing_tables(docs.sparkSession):
+        answer = kept_table(_answer(docs, signatures, id_col, text_col, shingle, percent, banding), "components")
+    return (
+        signatures.select("id", "row_hash", "s1", "s2", "n_shingles").join(answer, ["s1", "s2"], "left")
+        .select(
+            F.col("id").alias(id_col), "row_hash", "n_shingles", F.col("root").alias("component"),
+            F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
+
+
+def _answer(
+    docs: DataFrame, signatures: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, banding: Banding,
+) -> DataFrame:
+    """(s1, s2, root, component_id) of every distinct set."""
     nodes = written_once(
         signatures.where("n_shingles > 0").groupBy("s1", "s2")
         .agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min("id").alias("least"),
@@ -70,19 +83,14 @@ def near_duplicates(
 
     rooted = nodes.select("s1", "s2", "node", "least").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(least, "root").select("s1", "s2", "root", "component_id")
-    return (
-        signatures.select("id", "row_hash", "s1", "s2", "n_shingles").join(of, ["s1", "s2"], "left")
-        .select(
-            F.col("id").alias(id_col), "row_hash", "n_shingles", F.col("root").alias("component"),
-            F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
+    return rooted.join(least, "root").select("s1", "s2", "root", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component of ``docs``, and every document without words, with all columns.
 
-    The one with the smallest id stays. Rows that repeat both id and text count once.
+    The one with the smallest id stays. Rows that repeat both id and text count once; of those that differ elsewhere
+    the one of the smallest hash of all columns stays.
     """
     found = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options).where("kept")
     one = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(id_col, "row_hash")).alias("one")).select("one.*")
@@ -90,7 +98,9 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     key = unused(docs, "_row_hash")
     hashed = docs.withColumn(key, F.xxhash64(id_col, text_col))
     same = (hashed[key] == stays["row_hash"]) & hashed[id_col].eqNullSafe(stays[id_col])
-    return hashed.join(stays, same, "left_semi").dropDuplicates([key, id_col]).drop(key)
+    rows = hashed.join(stays, same, "left_semi")
+    whole = F.struct(*docs.columns)
+    return rows.groupBy(key, id_col).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias(key + "_row")).select(f"{key}_row.*")
 
 
 def _keys(h: np.ndarray, at: np.ndarray, banding: Banding) -> np.ndarray:
@@ -202,63 +212,66 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, id_col: st
 
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the nodes that are linked with another."""
-    # Shingles that no other node has: they bound what a node can share with any other.
+    # Shingles that no other node has bound what a node can share with any other. Nodes that cannot reach the limit leave here.
     own = (
         sets.select("node", F.explode("items").alias("item")).groupBy("item")
         .agg(F.count("*").alias("count"), F.min("node").alias("node")).where("count = 1")
         .groupBy("node").agg(F.count("*").alias("own")))
-    facts = checkpointed(
-        sets.select("node", "n").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")))
-    open_rows = members.join(facts, "node").withColumn("label", F.col("node"))
-    edges = None
-    for round_ in range(STAR_ROUNDS):
-        # The pivot of a key: the node with the smallest share of shingles of its own.
-        order = F.struct((-F.col("common") / F.col("n")).alias("r"), F.xxhash64("node", F.lit(round_)).alias("h"), "node", "n", "common", "label")
-        pivots = open_rows.groupBy("key").agg(
-            F.min(order).alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        pairs = open_rows.join(pivots, "key").where("label <> p.label").select(
-            F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("label").alias("la"), F.col("p.label").alias("lb"),
-            "n", "common", F.col("p.n").alias("n2"), F.col("p.common").alias("common2"))
-        best = (
-            pairs.where(_may_link(percent)).groupBy("a", "b", "la", "lb").agg(F.count("*").alias("shared"))
-            .groupBy("a", "la").agg(F.max(F.struct("shared", "b", "lb")).alias("m"))
-            .select("a", "la", F.col("m.b").alias("b"), F.col("m.lb").alias("lb")))
-        edges, open_rows = _merge(open_rows, _confirmed(best, sets, percent), edges)
-    return components(edges.unionByName(_tiled(_groups(open_rows), sets, percent)))
-
-
-def _groups(open_rows: DataFrame) -> DataFrame:
+    facts = written_once(
+        sets.select("node", "n").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+        .where(100 * F.col("common") >= percent * F.col("n")), "facts")
+    hopeful = members.join(facts, "node")
+    # The pivot of a key: the node with the smallest share of shingles of its own.
+    order = F.struct((-F.col("common") / F.col("n")).alias("r"), F.xxhash64("node").alias("h"), "node", "n", "common")
+    pivots = written_once(
+        hopeful.groupBy("key").agg(F.min(order).alias("p"), F.count("*").alias("size")).where("size > 1").select(
+            "key", F.col("p.node").alias("b"), F.col("p.n").alias("n2"), F.col("p.common").alias("common2")), "pivots")
+    shared = written_once(hopeful.join(pivots, "key").select("key", "node", "n", "common", "b", "n2", "common2"), "shared")
+    best = (
+        shared.where("node <> b").where(_may_link(percent)).groupBy("node", "b").agg(F.count("*").alias("keys"))
+        .groupBy("node").agg(F.max(F.struct("keys", "b")).alias("m")).select(F.col("node").alias("a"), F.col("m.b").alias("b")))
+    links = written_once(_confirmed(best, sets, percent), "links")
+    labels = written_once(components(links), "labels")
+    labelled = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+    more = _tiled(_groups(written_once(labelled, "labelled")), sets, percent)
+    return _joined(labels, components(more))
+
+
+def _joined(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of components of components: nodes with their label, and labels that are linked with others."""
+    moved = roots.select(F.col("node").alias("label"), F.col("root").alias("top"))
+    known = labels.select("node", F.col("root").alias("label")).join(moved, "label", "left").select("node", F.coalesce("top", "label").alias("root"))
+    alone = moved.select(F.col("label").alias("node"), F.col("top").alias("root")).join(labels, "node", "left_anti")
+    return known.unionByName(alone)
+
+
+def _groups(labelled: DataFrame) -> DataFrame:
     """(group, node, label, few, member): who has to be compared with whom; pairs of a ``few`` node and a member of its group.
 
-    Nodes that share two tables or more with the pivot of a key form a cluster, which is one group. In
-    it, nodes outside its main label are few. Where clusters meet in a key by chance, the nodes of the
-    smaller visit the larger. So every pair of nodes that share a key and differ in label is compared, once per
-    cluster and not once per key.
+    In a key whose nodes differ in label, those outside its largest label are few. They are compared with all
+    nodes of that label, which is one group for all keys in which it is the largest, and with one another.
+    Keys with the same few nodes are one group. So every pair of nodes that share a key and differ in label is compared.
     """
-    nodes = open_rows.select("node", "label").distinct()
-    pivot = open_rows.groupBy("key").agg(F.min("node").alias("p"))
-    strong = (
-        open_rows.join(pivot, "key").where("node <> p").groupBy(F.col("node").alias("u"), F.col("p").alias("v"))
-        .agg(F.count("*").alias("shared")).where("shared > 1"))
-    clusters = components(strong.select("u", "v"))
-    placed = checkpointed(
-        nodes.join(clusters, "node", "left").select("node", "label", F.coalesce("root", "node").alias("cluster")))
-    met = open_rows.select("key", "node").join(placed, "node")
-    shares = met.groupBy("key", "cluster").agg(F.count("*").alias("size"))
-    several = shares.groupBy("key").agg(F.count("*").alias("clusters")).where("clusters > 1").select("key")
-    ranked = written_once(
-        shares.join(several, "key").selectExpr("key", "cluster", "row_number() OVER (PARTITION BY key ORDER BY size DESC, cluster) AS place"), "met")
-    visits = (
-        met.join(ranked.where("place > 1"), ["key", "cluster"]).select("key", "node", "label", "place")
-        .join(ranked.select("key", F.col("cluster").alias("group"), F.col("place").alias("before")), "key")
-        .where("before < place").select("group", "node", "label").distinct()
-        .withColumns({"few": F.lit(True), "member": F.lit(False)}))
-    main = (
-        placed.groupBy("cluster", "label").agg(F.count("*").alias("size"))
-        .groupBy("cluster").agg(F.max(F.struct("size", "label")).alias("m")))
-    members = placed.join(main, "cluster").select(
-        F.col("cluster").alias("group"), "node", "label", (F.col("label") != F.col("m.label")).alias("few"), F.lit(True).alias("member"))
-    return members.unionByName(visits)
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
+    several = written_once(
+        sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("size", "label")).alias("m")).where("labels > 1")
+        .select("key", F.col("m.label").alias("main")), "several")
+    few = written_once(labelled.join(several, "key").where("label <> main"), "few")
+    visits = few.select(F.col("main").alias("group"), "node", "label").distinct().withColumns({"few": F.lit(True), "member": F.lit(False)})
+    mains = written_once(few.select("main").distinct(), "mains")
+    homes = (
+        labelled.select("node", F.col("label").alias("main")).distinct().join(mains, "main")
+        .select(F.col("main").alias("group"), "node", F.col("main").alias("label"), F.lit(False).alias("few"), F.lit(True).alias("member")))
+    # Two sums of hashes name a set of few nodes.
+    named = few.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
+        F.sum(F.xxhash64("node").bitwiseAND(F.lit(2**40 - 1))).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND(F.lit(2**40 - 1))).alias("y"),
+        F.bit_xor(F.xxhash64("node", F.lit(2))).alias("z")).where("low <> high")
+    one = written_once(named.groupBy("size", "x", "y", "z").agg(F.min("key").alias("key")).select("key"), "few_keys")
+    # Labels are numbers of nodes and from 0 on, so negative numbers are free for these groups.
+    among = few.join(one.withColumn("group", -1 - F.monotonically_increasing_id()), "key").select(
+        "group", "node", "label", F.lit(True).alias("few"), F.lit(True).alias("member"))
+    return visits.unionByName(homes).unionByName(among)
 
 
 def _tiled(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,7 +281,8 @@ def _tiled(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one task with bounded memory, and only pairs of labels leave it.
     """
     groups = written_once(groups, "groups")
-    sizes = groups.groupBy("group").agg(_tiles_for("few").alias("rows"), _tiles_for("member").alias("columns")).where("rows > 0")
+    sizes = written_once(
+        groups.groupBy("group").agg(_tiles_for("few").alias("rows"), _tiles_for("member").alias("columns")).where("rows > 0"), "sizes")
     sized = groups.join(sizes, "group")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -330,22 +344,10 @@ def _may_link(percent: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v) labels of the pairs whose full sets are similar enough."""
+    """(u, v) of the pairs whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("x", "y")))
     return (
         both.where(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same")))
-        .select(F.col("la").alias("u"), F.col("lb").alias("v")).distinct())
-
-
-def _merge(open_rows: DataFrame, links: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """All links so far, and the rows of keys whose nodes still lie in several components."""
-    links = checkpointed(links)
-    roots = components(links)
-    labelled = (
-        open_rows.join(roots.select(F.col("node").alias("label"), "root"), "label", "left")
-        .withColumn("label", F.coalesce("root", "label")).drop("root"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    rest = written_once(labelled.join(mixed_keys.select("key"), "key"), "open")
-    return links if edges is None else edges.unionByName(links), rest
+        .select(F.col("a").alias("u"), F.col("b").alias("v")))

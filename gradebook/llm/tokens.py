@@ -7,11 +7,14 @@ byte of a non-ASCII character counts as a word byte), so no decoding is needed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
+#: Words of more bytes are hashed by a digest.
+LONG_WORD = 32
 #: Bytes worked on at once; a longer text is a piece of its own.
 PIECE = 1 << 19
 
@@ -97,6 +100,9 @@ def words_of(data: np.ndarray, bounds: np.ndarray, word_byte: np.ndarray) -> Wor
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers(BASE, n), out=sums[1:])
     hashes = mixed((sums[end] - sums[start]) * powers(INVERSE, n + 1)[start] + (end - start).astype(np.uint64))
+    # A sum of powers modulo 2^64 is the same for some long words that are made for it; those get a digest.
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
     return Words(data, start, end, hashes, np.searchsorted(start, bounds))
 
 

@@ -105,6 +105,42 @@ def test_a_large_group_of_near_copies(make):
     assert found == {i: x[1] for (i, _), x in zip(docs, brute.components(docs, 2))}
 
 
+def test_long_words_are_told_apart(make):
+    """Two words of 1,024 letters whose sums of powers modulo 2^64 are equal."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    found = near_duplicates(make([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_rows_that_differ_elsewhere_are_kept_alike(spark, make):
+    """Of rows that repeat id and text the same one stays, however the rows are dealt out."""
+    rows = [(1, BASE, "en", f"s{i}", i, "w", "h", "n", "q") for i in range(40)]
+    frame = spark.createDataFrame(rows, make([]).schema)
+    kept = [without_near_duplicates(frame.repartition(n).orderBy(F.rand(n))).collect() for n in (1, 7)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
+
+
+def test_texts_that_share_a_passage(make):
+    """Texts of one common passage and an end of their own are below the limit and meet nobody; copies of some are found."""
+    docs = [(i, BASE[:900] + " " + prose(110, 9000 + i)) for i in range(300)]
+    docs += [(1000 + i, docs[i][1] + " end") for i in range(0, 300, 10)]
+    found = {r.doc_id: r.component_id for r in near_duplicates(make(docs), shingle=2).collect()}
+    assert found == {i: x[1] for (i, _), x in zip(docs, brute.components(docs, 2))}
+
+
+def test_nothing_is_left_behind(spark, make):
+    """Of the tables written on the way only two are there while the result is used."""
+    from pathlib import Path
+
+    from gradebook.sources.checkpoints import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")) / "tables"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    assert near_duplicates(make(HARD), shingle=2).count() == len(HARD)
+    assert sorted(p.name for new in set(folder.iterdir()) - before for p in new.iterdir()) == ["components", "signatures"]
+
+
 def test_near_duplicates_of_nothing(make):
     assert near_duplicates(make([])).count() == 0
     assert near_duplicates(make([(1, None), (2, "")]), banding=Banding(4, 2)).where("kept").count() == 2
