@@ -8,7 +8,6 @@ repeated rows are treated as the operators say.
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from gradebook.llm.quality_rules import passing_quality
 from gradebook.llm.queries import SURROGATE_KEY
 from gradebook.llm.surrogates import with_surrogates
 from gradebook.llm.workers import ship
-from gradebook.sources.checkpoints import ensure_checkpoint_dir
+from gradebook.sources.checkpoints import kept_table, passing_tables, remove_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -41,9 +40,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by surrogates; n_chars is that of the new text."""
+    """Personal data in the texts is replaced by surrogates; n_chars is that of the new text.
+
+    The key is the session's setting ``gradebook.surrogates.key``, which has to be kept secret, and a known one without it.
+    """
     columns = docs.columns
-    return with_surrogates(docs, key=SURROGATE_KEY).withColumn("n_chars", F.length("text").cast("bigint")).select(*columns)
+    return with_surrogates(docs, key=spark.conf.get("gradebook.surrogates.key", SURROGATE_KEY)).withColumn("n_chars", F.length("text").cast("bigint")).select(*columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,13 +66,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to all documents."""
+    """The stages applied to all documents.
+
+    What a stage writes on its way is removed when its result is written, and that when the next stage's is.
+    """
     ship(spark)
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline/{uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{number}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{number}")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        with passing_tables(spark):
+            out = kept_table(stage(spark, docs, sf_dir), "documents")
+        if before is not None:
+            remove_table(before)
+        docs = before = out
     return docs
