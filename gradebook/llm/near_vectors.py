@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from gradebook.llm.names import unused
 from gradebook.llm.tokens import mixed
@@ -58,7 +59,10 @@ def near_vectors(
     length. Rows that repeat an id count as rows of their own. A null id is never
     the smallest unless its component has no other. Other columns are not looked at.
     """
-    plain = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
+    vector = F.col(vector_col)
+    if rows.schema[vector_col].dataType != ArrayType(FloatType()):
+        vector = vector.cast("array<double>")
+    plain = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vector.alias("vec"))
     nodes = written_once(
         plain.where(_usable("vec") & F.col("label").isNotNull()).groupBy("label", "vec")
         .agg(F.count("*").alias("n"), F.min("id").alias("least"))
@@ -70,12 +74,13 @@ def near_vectors(
 
     more = found.groupBy("node").agg(F.sum("links").alias("more"))
     roots = components(found.select(F.col("ball").alias("u"), F.col("low").alias("v")).distinct())
-    placed = (
+    placed = written_once(
         nodes.join(balls.select("node", "ball"), "node").join(more, "node", "left")
         .join(roots.select(F.col("node").alias("ball"), "root"), "ball", "left")
-        .withColumn("root", F.coalesce("root", "ball")))
-    weight = balls.groupBy("ball").agg(F.sum("n").alias("weight"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component"))
+        .withColumn("root", F.coalesce("root", "ball")), "placed")
+    # Written first, so that a join can split the rows of a large ball or component.
+    weight = written_once(balls.groupBy("ball").agg(F.sum("n").alias("weight")), "weight")
+    least = written_once(placed.groupBy("root").agg(F.min("least").alias("component")), "least")
     answer = written_once(
         placed.join(weight, "ball").join(least, "root")
         .select("label", "vec", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component"), "answer")
@@ -101,7 +106,10 @@ def _usable(vec: str) -> Column:
 
 
 def _keyed(nodes: DataFrame, hashing: Hashing) -> DataFrame:
-    """(node, label, dim, n, vec, norm, keys): vectors scaled by a power of two, which is exact, so that squares fit."""
+    """(node, label, dim, n, vec, norm, keys): vectors scaled by a power of two, so that squares fit.
+
+    That is exact but for components 2^126 times smaller than the largest, which are lost in the sums as well.
+    """
     tables, depth, width, seed = hashing
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +119,7 @@ def _keyed(nodes: DataFrame, hashing: Hashing) -> DataFrame:
             dims = np.diff(vectors.offsets.to_numpy())
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                x = part.column("vec").flatten().to_numpy().reshape(-1, dim)
+                x = part.column("vec").flatten().to_numpy().astype(np.float64).reshape(-1, dim)
                 x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
                 norm = np.sqrt((x * x).sum(axis=1))
                 if dim not in lines:
@@ -124,12 +132,12 @@ def _keyed(nodes: DataFrame, hashing: Hashing) -> DataFrame:
                     keys = mixed(keys + step.reshape(-1, tables, depth)[:, :, j])
                 yield pa.record_batch(
                     [part.column("node"), part.column("label"), pa.array(np.full(len(x), dim, np.int32)), part.column("n"),
-                     _lists(x), pa.array(norm), _lists(keys.view(np.int64))],
+                     _lists(x.astype(vectors.type.value_type.to_pandas_dtype())), pa.array(norm), _lists(keys.view(np.int64))],
                     names=["node", "label", "dim", "n", "vec", "norm", "keys"])
 
-    label = nodes.schema["label"].dataType.simpleString()
+    label, vec = (nodes.schema[c].dataType.simpleString() for c in ("label", "vec"))
     return nodes.select("node", "label", "n", "vec").mapInArrow(
-        key, f"node bigint, label {label}, dim int, n bigint, vec array<double>, norm double, keys array<bigint>")
+        key, f"node bigint, label {label}, dim int, n bigint, vec {vec}, norm double, keys array<bigint>")
 
 
 def _lists(rows: np.ndarray) -> pa.ListArray:
@@ -150,7 +158,7 @@ def _members(keyed: DataFrame) -> DataFrame:
 def _angles(pairs: DataFrame, keyed: DataFrame, a: str, b: str) -> DataFrame:
     """``pairs`` with the angle of the nodes in the columns ``a`` and ``b``."""
     of = lambda c, v, n: keyed.select(F.col("node").alias(c), F.col("vec").alias(v), F.col("norm").alias(n))
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     cosine = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot / (F.col("nx") * F.col("ny"))))
     return pairs.join(of(a, "x", "nx"), a).join(of(b, "y", "ny"), b).withColumn("angle", F.acos(cosine)).drop("x", "y", "nx", "ny")
 
@@ -196,7 +204,8 @@ def _compared(keyed: DataFrame, members: DataFrame, balls: DataFrame, cosine: fl
     use = ["bucket", "table", "i", "j", "side", "few", "node"]
     tiles = (
         left.select(use).unionByName(right.select(use)).join(balls.select("node", "ball"), "node")
-        .join(keyed.select("node", "n", "vec", "norm", "keys"), "node"))
+        .join(keyed.select("node", "n", "vec", "norm", "keys"), "node")
+        .withColumn("keys", F.slice("keys", F.lit(1), F.col("table"))))
     tile = ["bucket", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +228,9 @@ def _compared(keyed: DataFrame, members: DataFrame, balls: DataFrame, cosine: fl
 def _links_of(rows: pa.Table, cosine: float) -> Iterator[pa.RecordBatch]:
     """Links of a tile between nodes of different balls that meet in no earlier table."""
     side, few, node, ball, n, norm = (rows.column(c).to_numpy() for c in ("side", "few", "node", "ball", "n", "norm"))
-    x, keys = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(node), -1) for c in ("vec", "keys"))
     table = rows.column("table")[0].as_py()
+    x = rows.column("vec").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(node), -1)
+    keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), table)
     l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     linked = (x[l] @ x[r].T / np.outer(norm[l], norm[r]) >= cosine) & (ball[l][:, None] != ball[r][None, :])
     a, b = np.nonzero(linked)
@@ -228,7 +238,7 @@ def _links_of(rows: pa.Table, cosine: float) -> Iterator[pa.RecordBatch]:
         earlier = np.zeros(len(a), bool)
         for s in range(0, len(a), 1 << 16):
             p, q = l[a[s:s + (1 << 16)]], r[b[s:s + (1 << 16)]]
-            earlier[s:s + (1 << 16)] = (keys[p, :table] == keys[q, :table]).any(axis=1)
+            earlier[s:s + (1 << 16)] = (keys[p] == keys[q]).any(axis=1)
         linked[a[earlier], b[earlier]] = False
     if not linked.any():
         return
