@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from gradebook.sources.checkpoints import written_once
 
-#: Anchors and candidates of one task's block, and of the pieces in which a block is worked on.
-ANCHORS, CANDIDATES = 2048, 65536
+#: Most anchors and candidates of one block (the fewest, where more tasks would run at once), and of the pieces in which it is worked on.
+ANCHORS, CANDIDATES, LEAST_CANDIDATES = 2048, 65536, 256
 _FEW_ANCHORS, _FEW_CANDIDATES = 64, 2048
 
 
@@ -57,7 +57,7 @@ def hard_negatives(
     small = most * most * dim < 2**30
 
     slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(-(-facts["n"] // CANDIDATES), slots)
+    blocks = max(-(-facts["n"] // CANDIDATES), min(slots, -(-facts["n"] // LEAST_CANDIDATES)))
     anchor_blocks = -(-facts["anchors"] // ANCHORS)
     place = F.xxhash64("id", "copy")
     candidates = written_once(_packed(vectors, dim, planes).withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")), "candidates")
