@@ -18,6 +18,7 @@ from gradebook.operators import audit, facts, filters, joins, keyed, quality
 from gradebook.operators import rankings as rank
 from gradebook.operators.changes import delete, update
 from gradebook.plans import maintenance, reports, whatif
+from gradebook.plans.standings import Standings
 from gradebook.plans.upkeep import Upkeep
 from gradebook.sources.checkpoints import new_folder
 from gradebook.sources.schema import BATCHES
@@ -284,6 +285,20 @@ def _kept(db: Gradebook) -> Upkeep:
     return kept
 
 
+def kept_rankings(db: Gradebook) -> DataFrame:
+    """Ranks from stored blocks, after a batch of marks has moved the students that it names."""
+    kept = Standings.create(rank.course_totals(db), new_folder(db.spark, "standings"), rows_per_file=2_000)
+    changes = batch(db, "marks_batch")
+    touched = changes.select("student_id").distinct()
+    few = db.replace(
+        marks=keyed.restrict(db.marks, touched, "student_id"), final_exams=keyed.restrict(db.final_exams, touched, "student_id"),
+        course_user=db.course_user.join(touched.withColumnRenamed("student_id", "user_id"), "user_id", "left_semi").select(*db.course_user.columns))
+    after = rank.course_totals(few.replace(marks=maintenance.save_marks(few.marks, changes, BATCH_TS)))
+    kept.move(rank.course_totals(few), after)
+    stored = kept.table.read()
+    return kept.ranks(stored.withColumn("total_points", -F.col("below")))
+
+
 def broken_key_audit(db: Gradebook) -> DataFrame:
     """The audit of tables that lack courses and users, repeat marks and miss students."""
     return audit.key_audit(db.replace(**{name: batch(db, f"broken_{name}") for name in ("users", "courses", "marks", "final_exams")}))
@@ -421,6 +436,7 @@ _ON_TABLES: dict[str, Callable[[Gradebook], DataFrame]] = {
     "numbered_exams": numbered_exams,
     "key_audit": audit.key_audit,
     "broken_key_audit": broken_key_audit,
+    "kept_rankings": kept_rankings,
     "kept_student_totals": lambda db: _kept(db).student_totals(db),
     "kept_cgpa_per_student": lambda db: _kept(db).cgpa_per_student(),
     "kept_avg_completion_by_course": lambda db: _kept(db).avg_completion_by_course(db),
