@@ -21,9 +21,10 @@ _DATE = r"0[1-9][ \-./][0-3][0-9][ \-./](?:19|20)?[0-9]{2}(?![ \-.]?[0-9])"
 _TITLE = (
     r"(?:Mrs?|Ms|Miss|Mx|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mademoiselle|Mme|Mlle|Maître|Señora?|Señorita|Srta|Sra?|Dra|Profa|Don|Doña|г-н|г-жа)\.?"
     r"|(?:M|Me)\.")
-_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*(?:[\-'’]\p{Lu}\p{Ll}+)*"
-_NAMES = rf"(?:\p{{Lu}}\. )*{_NAME}(?: (?:(?:von|van|vom|zu|zur|de|der|den|du|la|las|los|del|di|y) )*(?:{_NAME}|\p{{Lu}}\.(?= \p{{Lu}}))){{0,4}}"
-_TITLES = rf"^(?:(?:{_TITLE}) (?:(?:Dr|Prof)\.? )*)?"
+# Repeated groups give nothing back or are bounded, so that a word of any length is searched without recursion.
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}++(?:\p{Lu}\p{Ll}++)*+(?:[\-'’]\p{Lu}\p{Ll}++)*+"
+_NAMES = rf"(?:\p{{Lu}}\. ){{0,6}}{_NAME}(?: (?:(?:von|van|vom|zu|zur|de|der|den|du|la|las|los|del|di|y) )*(?:{_NAME}|\p{{Lu}}\.(?= \p{{Lu}}))){{0,4}}"
+_TITLES = rf"^(?:(?:{_TITLE}) (?:(?:Dr|Prof)\.? ){{0,6}})?"
 _INTRODUCED = r"[Mm]y name is|[Ii]ch hei(?:ß|ss)e|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]on nom est|[Mm]e llamo|[Mm]i nombre es|(?:[Nn]ame|[Nn]om|[Nn]ombre):"
 PATTERNS = {
     "email": r"[\p{L}0-9](?:[\p{L}0-9._%+\-]{0,62}[\p{L}0-9_%+\-])?@(?:[\p{L}0-9](?:[\p{L}0-9\-]{0,61}[\p{L}0-9])?\.){1,8}\p{L}{2,24}",
@@ -41,7 +42,7 @@ PATTERNS = {
     rf"|(?<![0-9A-Za-z+.,])(?!{_DATE})(?:0[1-9](?:[ .\-]?[0-9]{{2}}){{4}}|(?:0[1-9][0-9]{{0,3}} ?[ \-/] ?|\(0[1-9][0-9]{{0,3}}\)[ \-/]?)"
     r"(?:[0-9]{2,5}(?:[ \-][0-9]{2,5}){1,3}|[0-9]{5,9})|[6-9][0-9][ .\-][0-9]{3}(?:[ .\-][0-9]{2}){2}|[6-9][0-9]{2}(?:[ .\-][0-9]{2}){3})(?![0-9]|[.,][0-9])"
     r"|(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ \-.]?)?(?:\([0-9]{2,4}\)[ \-.]?|[0-9]{2,4}[ \-.])[0-9]{3,4}[ \-.][0-9]{3,4}(?![0-9])",
-    "person": rf"(?<![\p{{L}}])(?=[\p{{Lu}}г])(?:{_TITLE})(?: (?:Dr|Prof)\.?)* {_NAMES}|(?=\p{{Lu}})(?<=[eost:] )(?<=(?:{_INTRODUCED}) ){_NAMES}",
+    "person": rf"(?<![\p{{L}}])(?=[\p{{Lu}}г])(?:{_TITLE})(?: (?:Dr|Prof)\.?){{0,6}} {_NAMES}|(?=\p{{Lu}})(?<=[eost:] )(?<=(?:{_INTRODUCED}) ){_NAMES}",
 }
 TITLES = {"f": [
     "Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Mme", "Mlle", "Señora", "Señorita", "Srta", "Sra", "Dra", "Profa", "Doña", "г-жа"]}
@@ -51,6 +52,8 @@ NAMES = {
     ("cyrillic", "f"): ["Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Софья"],
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Денис", "Игорь", "Олег", "Павел", "Юрий"],
 }
+#: Attempts that keep the length. Later ones add a character each, so that short names and numbers never run out.
+SAME_LENGTH = 4
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text in which this is not found holds no entity, so that it need not be searched.
 _HINT = (
@@ -70,7 +73,8 @@ def with_surrogates(docs: DataFrame, *, key: str, text_col: str = "text", count_
     drawn from names of the same gender (by title) and script; the name is drawn without regard to the title. Mail surrogates end in a reserved domain.
 
     Distinctness is checked: of entities that share a surrogate, or whose surrogate is itself an entity of the corpus, all
-    but the first get another attempt, until none is left. Entities with an attempt above 0 are the only ones joined to
+    but the first get another attempt, until none is left. From the ``SAME_LENGTH``-th attempt on surrogates of names, numbers and mail
+    get longer (of IPv4 addresses: IPv6), so that this ends also where all of one length are taken. Entities with an attempt above 0 are the only ones joined to
     the texts; all others are replaced where they stand.
 
     Rows keep their order of columns and are judged on their own; repeated rows are treated alike. A null text stays null.
@@ -130,12 +134,15 @@ def _retried(docs: DataFrame, key: str, text_col: str) -> DataFrame:
 def surrogate(entity: Column, key: Column, attempt: Column) -> Column:
     """The keyed replacement of an entity. Attempts give different ones."""
     # Persons are drawn by their name, so that the title does not matter. The seed is made once, not for every character.
-    seed = F.concat_ws("\n", key, attempt.cast("string"), F.regexp_replace(entity, _TITLES, ""))
-    bound = F.array(F.struct(entity.alias("entity"), seed.alias("seed")))
-    return F.transform(bound, lambda x: _drawn(x["entity"], x["seed"]))[0]
+    # Mail is drawn without regard to case, which it keeps.
+    of = F.when(F.instr(entity, "@") > 0, F.lower(entity)).otherwise(F.regexp_replace(entity, _TITLES, ""))
+    seed = F.sha2(F.concat_ws("\n", key, attempt.cast("string"), of), 256)
+    more = F.greatest(attempt - SAME_LENGTH + 1, F.lit(0)).cast("int")
+    bound = F.array(F.struct(entity.alias("entity"), seed.alias("seed"), more.alias("more")))
+    return F.transform(bound, lambda x: _drawn(x["entity"], x["seed"], x["more"]))[0]
 
 
-def _drawn(entity: Column, seed: Column) -> Column:
+def _drawn(entity: Column, seed: Column, more: Column) -> Column:
     title = F.regexp_extract(entity, _TITLES, 0)
     name = F.substring(entity, F.length(title) + 1, F.length(entity))
     draw = lambda label, n: F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("\n", seed, label), 256), 1, 12), 16, 10).cast("bigint"), F.lit(n))
@@ -162,33 +169,44 @@ def _drawn(entity: Column, seed: Column) -> Column:
     block = F.concat(head, spelled(F.substring(entity, F.length(head) + 1, F.length(entity) - F.length(head) - F.length(foot))), foot)
     domain = F.substring_index(entity, "@", -1)
     mail = F.concat(
-        spelled(F.substring_index(entity, "@", 1)), F.lit("@"), spelled(F.substring_index(domain, ".", 1)),
+        spelled(F.concat(F.substring_index(entity, "@", 1), F.repeat(F.lit("a"), more))), F.lit("@"), spelled(F.substring_index(domain, ".", 1)),
         F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), (draw(F.lit("tld"), 3) + 1).cast("int")))
     octets = F.array_join(F.array(
         *[(draw(F.lit(f"o{i}"), n) + low).cast("string") for i, (low, n) in enumerate([(1, 223), (0, 256), (0, 256), (1, 254)])]), ".")
-    number = spelled(entity)
+    # No address of version 4 is longer than another, so the long ones are of version 6, from the documentation's range.
+    long_ip = F.concat(F.lit("2001:db8"), F.array_join(F.transform(
+        F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit(":"), F.lower(F.hex(draw(F.concat(F.lit("g"), i.cast("string")), 65536))))), ""))
+    octets = F.when(more > 0, long_ip).otherwise(octets)
+    number = spelled(F.concat(entity, F.repeat(F.lit("0"), more)))
     # Cards of other than 16 digits keep the two that tell their kind.
     plain = F.length(F.regexp_replace(entity, "[^0-9]", ""))
-    number_of_card = F.when(plain == 16, number).otherwise(spelled(entity, keep_first=True))
+    number_of_card = F.when(plain == 16, spelled(entity)).otherwise(spelled(entity, keep_first=True))
     whole = F.regexp_replace(number_of_card, "[^0-9]", "")
     last = F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(F.substring(whole, F.lit(1), plain - 1), F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     passing = F.pmod(_luhn(F.regexp_replace(entity, "[^0-9]", "")), F.lit(10)) == 0
     card = F.when(passing, F.concat(F.substring(number_of_card, F.lit(1), F.length(entity) - 1), last)).otherwise(number_of_card)
+    # An account number keeps its country, and valid check digits if its own are valid.
+    account = spelled(entity, keep_first=True)
+    rest, own = F.substring(account, F.lit(5), F.length(entity)), F.substring(entity, 1, 4)
+    check = F.lpad((F.lit(98) - _mod97(F.concat(rest, F.substring(entity, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(F.substring(entity, F.lit(5), F.length(entity)), own)) == 1
+    iban = F.when(valid, F.concat(F.substring(entity, 1, 2), check, rest)).otherwise(account)
     # A phone number keeps its country code, or the 0 before it.
     country = F.regexp_extract(entity, r"^(?:(?:\+|00)[0-9]{1,3}(?=[ \-./(])|\(?0)", 0)
-    phone = F.concat(country, spelled(F.substring(entity, F.length(country) + 1, F.length(entity))))
+    phone = F.concat(country, spelled(F.concat(F.substring(entity, F.length(country) + 1, F.length(entity)), F.repeat(F.lit("0"), more))))
     female = F.regexp_extract(title, r"^[^. ]+", 0).isin(TITLES["f"])
     cyrillic = name.rlike(r"\p{IsCyrillic}")
     drawn = lambda script, sex: F.element_at(F.array(*map(F.lit, NAMES[script, sex])), (draw(F.lit("name"), len(NAMES[script, sex])) + 1).cast("int"))
     first = F.when(cyrillic & female, drawn("cyrillic", "f")).when(cyrillic, drawn("cyrillic", "m")).when(female, drawn("latin", "f")).otherwise(drawn("latin", "m"))
     # Names between the first and the last are spelled anew as well.
-    person = F.when(F.instr(name, " ") > 0, F.concat(title, first, F.lit(" "), spelled(
-        F.substring(name, F.instr(name, " ") + 1, F.length(name))))).otherwise(F.concat(title, spelled(name)))
+    longer = F.repeat(F.when(cyrillic, "а").otherwise("a"), more)
+    person = F.when(F.instr(name, " ") > 0, F.concat(title, first, F.lit(" "), spelled(F.concat(
+        F.substring(name, F.instr(name, " ") + 1, F.length(name)), longer)))).otherwise(F.concat(title, spelled(F.concat(name, longer))))
     whole_is = lambda kind: entity.rlike(f"^(?:{PATTERNS[kind]})$")
     return (
         F.when(entity.rlike("^-----BEGIN "), block).when(F.instr(entity, "@") > 0, mail).when(entity.rlike(f"^(?:{_HEX})$") | whole_is("ipv6"), hex_)
         .when(whole_is("secret"), token)
-        .when(whole_is("iban"), spelled(entity, keep_first=True)).when(whole_is("card"), card).when(whole_is("ip"), octets)
+        .when(whole_is("iban"), iban).when(whole_is("card"), card).when(whole_is("ip"), octets)
         .when(whole_is("ssn"), number).when(whole_is("phone"), phone).otherwise(person))
 
 
@@ -197,3 +215,10 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(
         F.transform(F.split(F.lpad(digits, 20, "0"), ""), lambda c, i: F.when(F.pmod(i, F.lit(2)) == 0, 2 * c.cast("int") - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int"))),
         F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+
+
+def _mod97(account: Column) -> Column:
+    """The remainder by 97 of an account number, read as digits with A as 10 to Z as 35; blanks do not count."""
+    step = lambda r, c: (
+        F.when(c.rlike("[0-9]"), F.pmod(r * 10 + c.try_cast("int"), F.lit(97))).when(c.rlike("[A-Z]"), F.pmod(r * 100 + F.ascii(c) - 55, F.lit(97))).otherwise(r))
+    return F.aggregate(F.split(account, ""), F.lit(0), step)

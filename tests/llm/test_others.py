@@ -87,6 +87,42 @@ ENTITIES = [
 OTHERS = ["01.02.2024", "05-12-2023", "2024-01-15", "12 34", "3.14159", "a[5::2]", "std::deque", "12:30:45", "page 030", "Draft Version", "ab::cd", "Paris and London", "1 000 000"]
 
 
+def test_short_names_never_run_out(spark):
+    """All names of two letters are taken, so that every surrogate of two letters is an entity."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = spark.createDataFrame([(k, f"Mr {a.upper()}{b}, ") for k, (a, b) in enumerate((a, b) for a in letters for b in letters)], "doc_id INT, text STRING")
+    found = [r.text for r in with_surrogates(docs, key="k").collect()]
+    assert len(set(found)) == 676 and all(re.fullmatch(r"Mr [A-Z][a-z]{2,4}, ", t) for t in found)
+
+
+def test_surrogates_of_long_words(spark):
+    """Names, numbers, marks and blocks that go on and on; the search neither recurses nor starts over at every place."""
+    texts = [
+        "Mr " + "Aa" * 20_000, "Mr " + "Aa-" * 10_000 + "Bb", "Mr" + " Dr." * 200_000 + " Tom Jones", "Mr " + "A. " * 200_000 + "Jones", "7" * 1_000_000,
+        "-" * 1_000_000, "1-" * 500_000, "-----BEGIN PRIVATE KEY-----" + "-a" * 500_000, "a." * 400_000 + "@x.org", "a@" * 400_000, "0a" * 500_000,
+        "1:" * 500_000, "+1 " + "(2) " * 250_000, "DE12 " + "ABCD " * 200_000, "Frau " * 200_000, "My name is " * 90_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING").repartition(8)
+    found = {r.doc_id: r for r in with_surrogates(docs, key="k", count_col="n").collect()}
+    assert [found[i].n for i in (0, 1)] == [1, 1] and all(len(found[i].text) == len(texts[i]) and found[i].text != texts[i] for i in (0, 1))
+    assert all(len(found[i].text) > 0.3 * len(t) for i, t in enumerate(texts))
+
+
+def test_surrogates_of_accounts_and_mail(spark):
+    """Check digits stay valid (or invalid), and mail is the same in any case."""
+    docs = spark.createDataFrame([
+        (1, "GB82 WEST 1234 5698 7654 32"), (2, "DE89370400440532013000"), (3, "DE11370400440532013000"), (4, "ann.b@mail.org"), (5, "Ann.B@mail.org")],
+        "doc_id INT, text STRING")
+    out = {r.doc_id: r.text for r in with_surrogates(docs, key="k").collect()}
+
+    def remainder(iban):
+        plain = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+    assert [remainder(out[i]) == 1 for i in (1, 2, 3)] == [True, True, False]
+    assert re.fullmatch(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", out[1]) and re.fullmatch(r"DE\d{20}", out[2]) and out[2] != "DE89370400440532013000"
+    assert out[4] == out[5].lower() and out[5].split("@")[0] == out[5].split("@")[0][0].upper() + out[5].split("@")[0][1:4] + out[5].split("@")[0][4].upper()
+
+
 def test_surrogates_of_many_forms(spark):
     """Each form alone in a text is found whole and drawn anew; what looks alike stays."""
     texts = [f"so {e}, yes" for e in ENTITIES] + [f"so {e}, yes" for e in OTHERS]
