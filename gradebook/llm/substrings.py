@@ -1,4 +1,4 @@
-"""Removal of repeated substrings by sorting sampled suffixes and inducing all others from them."""
+"""Removal of repeated substrings by the names of sampled windows, in two levels."""
 
 from __future__ import annotations
 
@@ -28,15 +28,15 @@ def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     Earlier: in a document of smaller id, or before it in the same document. Texts are UTF-8
     bytes and matches never cross documents; strings are judged on the input.
 
-    Method, in the manner of induced suffix sorting: only sampled suffixes are
-    sorted. Sampled are the places whose hashed prefix of a fifth of ``length`` bytes is the least in some window of
+    Method, a replacement of external induced sorting (see the README): windows are named by
+    hashes instead of being ranked, at sampled places only. Sampled are the places whose hashed prefix of a fifth of ``length`` bytes is the least in some window of
     ``length`` bytes, so equal windows hold the same sample at the same place, and
     there are about 40 bytes from one sample to the next. A sample's tuple holds the name (hash) of its
-    prefix, the name of all text its windows cover, and its place. Spark's external sort
+    prefix, the name of all text its windows cover, and its place. A shuffle
     brings equal names together (first level). Windows of samples whose whole text was seen
     earlier are repeated; those of samples with a name of their own are not. Only where
     samples agree in the prefix and on one side of it, but not in all of their text, the windows
-    of that side are named and sorted themselves (second level). Names of whole texts and windows have 128 bits.
+    of that side are named themselves (second level). Names of whole texts and windows have 128 bits.
     Before each shuffle only the first tuple of a name in a few MB of text is kept, so a name has at most one row for each of these.
 
     One row per row of ``docs``: id, n_bytes, n_removed, spans (array of start, end of
