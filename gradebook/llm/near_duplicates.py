@@ -81,8 +81,9 @@ def _answer(
     sets = written_once(_node_sets(docs, nodes, members, id_col, text_col, shingle), "sets")
     labels = _linked(members, sets, percent)
 
-    rooted = nodes.select("s1", "s2", "node", "least").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = written_once(
+        nodes.select("s1", "s2", "node", "least").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = written_once(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     return rooted.join(least, "root").select("s1", "s2", "root", "component_id")
 
 
