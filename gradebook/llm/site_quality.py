@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradebook.sources.checkpoints import written_once
 
+#: A path's odds are those of at least this chance of either kind.
+LEAST_CHANCE = 1e-6
 #: Bins of each feature; the classifier's table has at most six times as many rows.
 BINS = 16
 
@@ -22,7 +26,7 @@ def site_quality(
     the classifier's probabilities elsewhere, are summed per (host, path) and host. Each host's mean is a beta posterior around
     the global mean, each path's around its host's; the strength of either prior is
     estimated from the spread of the level below (moments), so sparse sites stay near the level above. A document's score joins its evidence with
-    the odds of its path.
+    the odds of its path, both posteriors taken over the *other* documents, so nothing counts twice; the only document of a host gets the global mean.
 
     One row per row of ``docs``: id, evidence, host_posterior, path_posterior, score, kept (score >= threshold). Null hosts and paths are
     groups of their own. A document without words gets the evidence of the lowest bins. Repeated rows count each. Of several labels of an id the mean
@@ -47,28 +51,38 @@ def site_quality(
         .withColumn("share", F.coalesce(F.col("label").cast("double"), chance)), "evidence")
 
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("share").alias("s"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    top = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.avg(F.col("s") / F.col("n")).alias("m"), F.var_pop(F.col("s") / F.col("n")).alias("v")).first()
-    mean = top.s / top.n if top.n else prior
+    hosts = written_once(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s")), "hosts")
+    each = F.col("host_s") / F.col("host_n")
+    top = hosts.agg(F.sum("host_s").alias("s"), F.sum("host_n").alias("n"), F.avg(each).alias("m"), F.var_pop(each).alias("v")).first()
+    mean = F.lit(top.s / top.n if top.n else prior)
     over = _strength(top.m, top.v)
-    hosts = hosts.select("host", ((F.lit(mean * over) + F.col("s")) / (F.lit(over) + F.col("n"))).alias("host_posterior"))
-    joined = paths.alias("p").join(hosts.alias("h"), F.expr("p.host <=> h.host")).select("p.host", "path", "n", "s", "host_posterior")
-    within = joined.agg(F.avg("host_posterior").alias("m"), F.avg(F.pow(F.col("s") / F.col("n") - F.col("host_posterior"), 2)).alias("v")).first()
+    host_mean = _shrunk(F.col("host_s"), F.col("host_n"), mean, over)
+    sites = written_once(paths.alias("p").join(hosts.alias("h"), F.expr("p.host <=> h.host")).select("p.host", "path", "n", "s", "host_n", "host_s"), "sites")
+    within = sites.select(host_mean.alias("m"), F.pow(F.col("s") / F.col("n") - host_mean, 2).alias("d")).agg(F.avg("m").alias("m"), F.avg("d").alias("v")).first()
     under = _strength(within.m, within.v)
-    sites = written_once(joined.select(
-        "host", "path", "host_posterior", ((F.lit(under) * F.col("host_posterior") + F.col("s")) / (F.lit(under) + F.col("n"))).alias("path_posterior")), "sites")
-    odds = F.log(F.col("path_posterior") / (1 - F.col("path_posterior")))
+    # A document's own part is taken out of its host's and path's sums, as its evidence counts on its own.
+    others = _shrunk(F.col("host_s") - F.col("share"), F.col("host_n") - 1, mean, over)
+    of_path = _shrunk(F.col("s") - F.col("share"), F.col("n") - 1, F.col("host_posterior"), under)
+    sure = F.least(F.lit(1 - LEAST_CHANCE), F.greatest(F.lit(LEAST_CHANCE), "path_posterior"))
+    odds = F.log(sure / (1 - sure))
     return (
         scored.alias("d").join(sites.alias("t"), F.expr("d.host <=> t.host AND d.path <=> t.path"))
+        .withColumn("host_posterior", others).withColumn("path_posterior", of_path)
         .select(F.col("id").alias(id_col), "evidence", "host_posterior", "path_posterior", (1 / (1 + F.exp(-(F.col("evidence") + odds)))).alias("score"))
         .withColumn("kept", F.col("score") >= threshold))
 
 
 def _strength(mean: float | None, variance: float | None) -> float:
-    """How many documents the prior of a level weighs, by moments; between 2 and 1000."""
+    """How many documents the prior of a level weighs, by moments: none where the level below spreads as far as shares can, all where it does not spread."""
     if mean is None or not variance:
-        return 1000.0
-    return min(1000.0, max(2.0, mean * (1 - mean) / variance - 1))
+        return math.inf
+    return max(0.0, mean * (1 - mean) / variance - 1)
+
+
+def _shrunk(total: Column, n: Column, prior: Column, strength: float) -> Column:
+    """The mean of ``n`` shares, drawn towards a prior mean that weighs ``strength`` of them; the prior where there is none."""
+    weight = n / (n + F.lit(strength))
+    return F.when(n <= 0, prior).otherwise(weight * total / n + (1 - weight) * prior)
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:

@@ -159,6 +159,21 @@ def test_licences(spark):
     assert licences(frame.limit(0)).count() == 0
 
 
+def test_licences_inside_longer_texts(spark):
+    """Notices in sentences, identifiers, titles of licence files; a denied notice and a mere mention are none."""
+    prose = "The figures shown below and the code of this tutorial {} and we hope that you enjoy the rest of this long page about birds and rivers"
+    texts = [
+        ("a1/x", prose.format("are released under the MIT License, so you can copy it freely"), "MIT"),
+        ("a2/x", "SPDX-License-Identifier: MIT", "MIT"), ("a3/x", "// SPDX-License-Identifier: Apache-2.0\nint x;", "Apache-2.0"),
+        ("b/LICENSE", "MIT License\n\nCopyright (c) 2020 someone", "MIT"), ("c/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"),
+        ("a4/x", "Licensed under the BSD 2-Clause License", "BSD-2-Clause"), ("a5/x", prose.format("is licensed under CC BY-SA 4.0"), "CC-BY-SA-4.0"),
+        ("a6/x", prose.format("is not released under the MIT License"), None), ("a7/x", "It isn't licensed under CC BY 4.0.", None),
+        ("a8/x", "Many people like the MIT License and its history is long and winding, as is told by some", None),
+        ("a9/x", "licence " * 3000, None), ("a10/x", "word " * 200000 + prose.format("is licensed under CC BY-SA 4.0"), "CC-BY-SA-4.0"), ("b/x/y.txt", "nothing", "MIT")]
+    files = spark.createDataFrame([(p, t, "x") for p, t, _ in texts], "path string, text string, notice string")
+    assert {r.path: r.licence for r in licences(files).collect()} == {p: lic for p, _, lic in texts}
+
+
 def test_licences_of_the_documents(spark):
     found = QUERIES["op1_licences"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect()
     names = {"Apache License": "Apache-2.0", "MIT License": "MIT", "GNU General": "GPL-3.0", "CC BY-NC": "CC-BY-NC-4.0"}
@@ -167,6 +182,42 @@ def test_licences_of_the_documents(spark):
         assert (r.origin == "own") == bool(own) and (not own or r.licence in own)
 
 
+def test_site_quality_counts_no_document_twice(spark):
+    """Against plain Python without labels (so that all shares are the prior) and with a label for each; a host of one document gets the mean of all."""
+    docs = spark.createDataFrame(
+        [(i, "some words here", f"h{i % 4}" if i else "alone", f"p{i % 3}" if i else "alone") for i in range(40)], "doc_id int, text string, source string, lang string")
+    label = {i: int(i % 4 == 1 or i % 7 == 0) for i in range(40)}
+    labels = spark.createDataFrame([(i, v) for i, v in label.items()], "doc_id int, quality int")
+    got = {r.doc_id: r for r in site_quality(docs, labels).collect()}
+    host, path = (lambda i: i % 4 if i else "alone"), (lambda i: (i % 4, i % 3) if i else "alone")
+    mean = sum(label.values()) / 40
+
+    def moments(values):
+        m = sum(values) / len(values)
+        return m, sum((v - m) ** 2 for v in values) / len(values)
+
+    def strength(m, v):
+        return max(0, m * (1 - m) / v - 1) if v else float("inf")
+
+    def shrunk(members, prior, k):
+        n = len(members)
+        w = n / (n + k) if n else 0
+        return w * sum(label[i] for i in members) / n + (1 - w) * prior if n else prior
+
+    hosts = {h: [i for i in range(40) if host(i) == h] for h in map(host, range(40))}
+    paths = {p: [i for i in range(40) if path(i) == p] for p in map(path, range(40))}
+    over = strength(*moments([sum(label[i] for i in m) / len(m) for m in hosts.values()]))
+    of_host = {h: shrunk(m, mean, over) for h, m in hosts.items()}
+    level = [of_host[host(m[0])] for m in paths.values()]
+    spread = [(sum(label[i] for i in m) / len(m) - x) ** 2 for m, x in zip(paths.values(), level)]
+    under = strength(sum(level) / len(level), sum(spread) / len(spread))
+    for i in range(40):
+        expected_host = shrunk([j for j in hosts[host(i)] if j != i], mean, over)
+        assert got[i].host_posterior == pytest.approx(expected_host)
+        assert got[i].path_posterior == pytest.approx(shrunk([j for j in paths[path(i)] if j != i], expected_host, under))
+    assert got[0].host_posterior == pytest.approx(mean) and got[0].path_posterior == pytest.approx(mean)
+
+
 def test_site_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     found = site_quality(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").select("kept", "quality").collect()
