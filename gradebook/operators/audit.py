@@ -59,38 +59,49 @@ def key_audit(db: Gradebook, unique: list[Key] = UNIQUE, references: list[Refere
     Rules are "<columns> is repeated", "<column> is required" and "<column> is not in <parent>". A key
     with a NULL is not repeated. The rows of all tables are reduced to the values that the rules are about and meet in
     one aggregation, by value: a reference meets the ids of its parent there, and a value that many rows share is
-    counted before the shuffle.
+    counted before the shuffle. Rules about the same values share a space and have a place each in it, so a shuffled row is as wide as the
+    space with the most rules, not as all rules together.
     """
-    rules = [*unique, *references]
+    spaces: dict[tuple[str, tuple[str, ...]], list[Key | Reference]] = {}
+    for key in unique:
+        spaces.setdefault((key.table, key.columns), []).append(key)
+    for reference in references:
+        if (parent := (reference.parent, ("id",))) not in spaces:
+            raise ValueError(f"the ids of {reference.parent} are not among the keys")
+        spaces[parent].append(reference)
     parts = []
-    for number, rule in enumerate(rules):
-        if isinstance(rule, Key):
-            table, columns, space = rule.table, rule.columns, f"{rule.table} {', '.join(rule.columns)}"
-        else:
-            table, columns, space = rule.table, (rule.column,), f"{rule.parent} id"
-        first, second = F.col(columns[0]).cast("bigint"), F.col(columns[1]).cast("bigint") if len(columns) > 1 else F.lit(None).cast("bigint")
-        rows = getattr(db, table)
-        if isinstance(rule, Key):
-            rows = rows.dropna(subset=list(columns))
-        elif rule.optional:
-            rows = rows.where(F.col(rule.column).isNotNull())
-        parts.append(rows.select(
-            F.lit(space).alias("space"), first.alias("value"), second.alias("second_value"), F.lit(number).alias("rule"), F.col("id").cast("bigint").alias("id")))
+    for space, rules in enumerate(spaces.values()):
+        for place, rule in enumerate(rules):
+            rows = getattr(db, rule.table)
+            columns = rule.columns if isinstance(rule, Key) else (rule.column,)
+            if isinstance(rule, Key):
+                rows = rows.dropna(subset=list(columns))
+            elif rule.optional:
+                rows = rows.where(F.col(rule.column).isNotNull())
+            second = F.col(columns[1]) if len(columns) > 1 else F.lit(None)
+            # The least of the ids that equal a value is the value.
+            least = F.lit(None) if columns == ("id",) else F.col("id")
+            parts.append(rows.select(
+                F.lit(space).alias("space"), F.col(columns[0]).cast("bigint").alias("value"), second.cast("bigint").alias("second_value"),
+                F.lit(place).alias("place"), least.cast("bigint").alias("id")))
     stacked = reduce(DataFrame.unionByName, parts)
-    mine = lambda n: F.col("rule") == n
-    counts = [F.count(F.when(mine(n), 1)).alias(f"rows_{n}") for n in range(len(rules))]
-    least = [F.min(F.when(mine(n), F.col("id"))).alias(f"least_{n}") for n in range(len(rules))]
+    places = range(max(map(len, spaces.values())))
+    mine = lambda n: F.col("place") == n
+    counts = [F.count(F.when(mine(n), 1)).alias(f"rows_{n}") for n in places]
+    least = [F.min(F.when(mine(n), F.col("id"))).alias(f"least_{n}") for n in places]
     met = stacked.groupBy("space", "value", "second_value").agg(*counts, *least)
 
-    def broken(n: int) -> Column:
-        rule, rows = rules[n], F.col(f"rows_{n}")
+    def broken(space: int, n: int, rule: Key | Reference) -> Column:
+        rows, id_ = F.col(f"rows_{n}"), F.col(f"least_{n}")
         if isinstance(rule, Key):
             bad, text = rows > 1, F.lit(f"{', '.join(rule.columns)} is repeated")
+            id_ = F.col("value") if rule.columns == ("id",) else id_
         else:
-            parent = next(i for i, r in enumerate(rules) if isinstance(r, Key) and r == Key(rule.parent, ("id",)))
-            bad = (rows > 0) & (F.col("value").isNull() | (F.col(f"rows_{parent}") == 0))
+            bad = (rows > 0) & (F.col("value").isNull() | (F.col("rows_0") == 0))
             text = F.when(F.col("value").isNull(), f"{rule.column} is required").otherwise(f"{rule.column} is not in {rule.parent}")
-        return F.when(bad, F.struct(F.lit(rule.table).alias("table_name"), text.alias("rule"), rows.alias("n_rows"), F.col(f"least_{n}").alias("least_id")))
+        return F.when((F.col("space") == space) & bad, F.struct(F.lit(rule.table).alias("table_name"), text.alias("rule"), rows.alias("n_rows"), id_.alias("least_id")))
 
-    found = F.filter(F.array(*[broken(n) for n in range(len(rules))]), lambda x: x.isNotNull())
-    return met.select("value", "second_value", F.inline(found)).select("table_name", "rule", "value", "second_value", "n_rows", "least_id")
+    found = F.filter(F.array(*[broken(s, n, rule) for s, rules in enumerate(spaces.values()) for n, rule in enumerate(rules)]), lambda x: x.isNotNull())
+    # A value of one row that is an id or a key breaks no rule, which most are.
+    suspect = met.where(reduce(lambda a, b: a | b, [F.col(f"rows_{n}") > 1 for n in places]) | (F.col("rows_0") == 0) | F.col("value").isNull())
+    return suspect.select("value", "second_value", F.inline(found)).select("table_name", "rule", "value", "second_value", "n_rows", "least_id")

@@ -1,9 +1,10 @@
 """Broken keys and references on literal tables."""
 
+import pytest
 from books import T0, assessment, book, course, enrolment, final, mark, rows, student
 
 from catalog.queries import tables
-from gradebook.operators.audit import key_audit
+from gradebook.operators.audit import Key, Reference, key_audit
 
 
 def test_every_rule(spark):
@@ -36,3 +37,18 @@ def test_one_exchange(spark):
 
 def test_empty_tables_have_no_violations(spark):
     assert key_audit(book(spark)).count() == 0
+
+
+def test_a_shuffled_row_is_as_wide_as_the_largest_space(spark):
+    """Eight rules are about ids of users, more than about any other values; each has a count and a least id."""
+    plan = key_audit(book(spark))._jdf.queryExecution().executedPlan().toString()
+    partial = next(line for line in plan.splitlines() if "partial_count" in line)
+    assert partial.count("partial_count") == 8 and partial.count("partial_min") == 8
+
+
+def test_own_rules(spark):
+    db = book(spark, users=[student(1), student(1), student(1)], marks=[mark(11, 1, 5), mark(11, 2, 5)])
+    assert rows(key_audit(db, [Key("users", ("id",))], [Reference("marks", "student_id", "users")])) == [
+        ("marks", "student_id is not in users", 2, None, 1, 2011), ("users", "id is repeated", 1, None, 3, 1)]
+    with pytest.raises(ValueError):
+        key_audit(db, [Key("users", ("id",))], [Reference("marks", "assessment_id", "assessments")])
