@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gradebook.operators import aggregates as agg
 from gradebook.plans import maintenance as m
-from gradebook.plans.upkeep import Upkeep
+from gradebook.plans.upkeep import SUMS, Upkeep
 from gradebook.sources.versions import VersionedTable
 
 TS = "2024-05-05 10:00:00"
@@ -82,3 +82,13 @@ def test_of_nothing(spark, tmp_path):
     kept = Upkeep.create(db, f"{tmp_path}/kept")
     assert kept.student_totals(db).count() == 0 and rows(kept.overall_averages()) == [(0.0, 0.0)]
     assert rows(kept.average_completion()) == [(0.0,)] and [r.student_count for r in kept.completion_brackets().collect()] == [0] * 4
+
+
+def test_measures_walk_the_courses_once(spark, db):
+    """The sums read numbers per student; none has the courses' array in it."""
+    from gradebook.plans.upkeep import _by_measure
+
+    students = spark.createDataFrame([], "student_id BIGINT, sign INT, courses ARRAY<STRUCT<course_id BIGINT, " + ", ".join(
+        f"{c}: BIGINT" for c in SUMS) + ">>")
+    plan = _by_measure(students)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("lambda" in line for line in plan.splitlines() if "Aggregate" in line)
