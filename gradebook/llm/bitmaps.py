@@ -14,13 +14,13 @@ BITS = 1 << 24
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
-    """The bitmap of the column ``hash``, from at most ``BITS / 64`` aggregated rows."""
+    """The bitmap of the column ``hash``, from at most ``BITS / 64`` aggregated rows, which come as two Arrow columns."""
     slot = F.col("hash").bitwiseAND(F.lit(BITS - 1))
     rows = (
         hashes.groupBy(F.shiftright(slot, 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).toPandas())
+        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).toArrow())
     bits = np.zeros(BITS // 64, np.int64)
-    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return bits.view(np.uint64)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradebook.operators.positions import number_within
-from gradebook.sources.checkpoints import checkpointed, written_once
+from gradebook.sources.checkpoints import written_once
 
 #: Sizes from 1024 on are told apart by their ten leading bits, so a source has at most some 28,000 size classes.
 _EXACT = 1024
@@ -118,7 +118,8 @@ def _solved(counts: DataFrame, most: int) -> DataFrame:
         "place", "size", "target", "mean",
         F.least(F.lit(0.0), ratio * F.col("mean") / F.col("least")).alias("low"),
         (log_most * F.col("mean") / F.col("least")).alias("high"), F.least(log_most, ratio).alias("step"))
-    state = checkpointed(state)
+    # Written tables: the few rows are computed once and broadcast, so that the classes are not shuffled in every step.
+    state = written_once(state, "state")
     for _ in range(100):
         u = F.col("step") * F.col("x") / F.col("mean")
         rate = _rate(F.col("step"), F.col("x"), F.col("mean"), most)
@@ -128,13 +129,13 @@ def _solved(counts: DataFrame, most: int) -> DataFrame:
         gap = F.col("f") - F.col("target")
         low, high = F.when(gap < 0, F.col("step")).otherwise(F.col("low")), F.when(gap > 0, F.col("step")).otherwise(F.col("high"))
         newton = F.col("step") - gap / F.col("slope")
-        state = checkpointed(
+        state = written_once(
             state.join(sums, "place")
             .withColumns({"gap": F.abs(gap) / F.col("target"), "newton": F.when(F.col("slope") > 0, newton), "below": low, "above": high})
             .select("place", "size", "target", "mean", F.col("below").alias("low"), F.col("above").alias("high"), F.when(
                 F.col("gap") < 1e-9, F.col("step")).when(
                 (F.col("newton") > F.col("below")) & (F.col("newton") < F.col("above")), F.col("newton")).otherwise(
-                (F.col("below") + F.col("above")) / 2).alias("step"), "gap"))
+                (F.col("below") + F.col("above")) / 2).alias("step"), "gap"), "state")
         if not state.where("gap >= 1e-7").limit(1).count():
             break
         state = state.drop("gap")
