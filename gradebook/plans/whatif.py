@@ -8,23 +8,33 @@ from pyspark.sql import functions as F
 from gradebook.functions.numbers import from_points, reported, to_points
 from gradebook.functions.scores import is_gradable, score_ratio
 from gradebook.operators.joins import assessments_of
+from gradebook.sources.checkpoints import written_once
 from gradebook.sources.tables import Gradebook
 
 ITEM_KEY = ["scenario_id", "student_id", "assessment_id"]
+#: Rows that one task joins or reduces.
+ROWS_PER_TASK = 250_000
 
 
 def what_if_items(db: Gradebook, scenarios: DataFrame) -> DataFrame:
     """Every mark of a scenario's students, the supposed one where there is one.
 
     Stored and supposed marks are stacked and reduced per item, so both meet in
-    one shuffle. ``weighted_points`` is unrounded and ``weighted_mark`` for display.
+    one shuffle. Rows are counted first and dealt over as many tasks as they need, so the memory of a task does not
+    grow with the tables. ``weighted_points`` is unrounded and ``weighted_mark`` for display.
     """
-    students = scenarios.select("scenario_id", "student_id").distinct()
+    students = written_once(scenarios.select("scenario_id", "student_id").distinct(), "students")
     mark = F.col("mark_obtained").cast("double").alias("mark")
-    stored = db.marks.select("student_id", "assessment_id", mark).join(students, "student_id").withColumn(
+    marks = db.marks.select("student_id", "assessment_id", mark)
+    stored_rows, pairs = marks.count(), students.count()
+    # A student's marks are repeated per scenario.
+    scenarios_each = -(-pairs // max(1, students.select("student_id").distinct().count()))
+    tasks = -(-max(1, stored_rows) // ROWS_PER_TASK)
+    item_tasks = -(-max(1, stored_rows * scenarios_each + scenarios.count()) // ROWS_PER_TASK)
+    stored = marks.repartition(tasks, "student_id").join(students.repartition(tasks, "student_id"), "student_id").withColumn(
         "supposed", F.lit(0))
     supposed = scenarios.select(*ITEM_KEY, mark).withColumn("supposed", F.lit(1))
-    items = stored.select(*supposed.columns).unionByName(supposed).groupBy(*ITEM_KEY).agg(
+    items = stored.select(*supposed.columns).unionByName(supposed).repartition(item_tasks, *ITEM_KEY).groupBy(*ITEM_KEY).agg(
         F.max(F.when(F.col("supposed") == 1, F.col("mark"))).alias("new_mark"),
         F.max(F.when(F.col("supposed") == 0, F.col("mark"))).alias("old_mark"))
     scored = items.withColumn("mark_obtained", F.coalesce("new_mark", "old_mark")).join(
