@@ -14,6 +14,7 @@ from gradebook.operators import aggregates as agg
 from gradebook.operators import rankings as rank
 from gradebook.operators.facts import PAIR, course_facts
 from gradebook.operators.joins import (
+    assessments_of,
     assignment_grid,
     courses_of,
     courses_of_students,
@@ -153,13 +154,42 @@ def rankings_report(db: Gradebook, page_size: int = RANKING_PAGE) -> DataFrame:
 
 def my_marks(db: Gradebook) -> DataFrame:
     """Each enrolled course of each student with its assessments, final mark and total."""
-    sheet = mark_sheet(db).withColumn(
-        "weighted_mark", score_rounded_item(F.col("mark_obtained"), F.col("max_mark"), F.col("weight")))
-    lists = sheet.groupBy(*PAIR).agg(_sorted_list(
-        "assessment_id", "title", "type", "mark_obtained", "max_mark", "weight", "weighted_mark").alias("assessments"))
+    lists = _marked_assessments(db)
     return _or_empty(my_marks_totals(db).join(lists, PAIR, "left"), lists, "assessments")
 
 
+def _marked_assessments(db: Gradebook) -> DataFrame:
+    """Per enrolled pair the list of its course's assessments with the student's mark, if any.
+
+    Only keys and marks are shuffled, once: a pair's marks meet its enrolment, and the course's assessments are
+    added to the pair as one list, so the sheet of all pairs and assessments is never a table of its own.
+    """
+    course_of = assessments_of(db, "course_id").distinct()
+    given = db.marks.select("student_id", "assessment_id", "mark_obtained").join(
+        db.dim("assessments", course_of), "assessment_id").select(*PAIR, F.struct("assessment_id", "mark_obtained").alias("given"))
+    stacked = enrolled(db).select(*PAIR, F.lit(1).alias("enrolment")).unionByName(given, allowMissingColumns=True)
+    pairs = stacked.repartition(*PAIR).groupBy(*PAIR).agg(
+        F.count("enrolment").alias("_times"), F.collect_list("given").alias("_given")).where("_times > 0")
+    per_course = db.assessments.groupBy("course_id").agg(_sorted_list(
+        F.col("id").alias("assessment_id"), "title", "type", "max_mark", "weight").alias("_items"))
+
+    def entry(item: Column, mark: Column) -> Column:
+        weighted = score_rounded_item(mark, item["max_mark"], item["weight"])
+        return F.struct(
+            item["assessment_id"].alias("assessment_id"), item["title"].alias("title"), item["type"].alias("type"), mark.alias("mark_obtained"),
+            item["max_mark"].alias("max_mark"), item["weight"].alias("weight"), weighted.alias("weighted_mark"))
+
+    def entries(item: Column) -> Column:
+        marks = F.filter("_given", lambda given: given["assessment_id"] == item["assessment_id"])
+        absent = F.lit(None).cast(db.marks.schema["mark_obtained"].dataType)
+        return F.when(F.size(marks) == 0, F.array(entry(item, absent))).otherwise(F.transform(marks, lambda given: entry(item, given["mark_obtained"])))
+
+    listed = F.flatten(F.transform("_items", entries))
+    # A pair that is enrolled more than once has its list as often.
+    repeated = F.when(F.col("_times") == 1, listed).otherwise(F.flatten(F.array_repeat(listed, F.col("_times").cast("int"))))
+    return pairs.join(db.dim("assessments", per_course), "course_id").select(*PAIR, F.array_sort(repeated).alias("assessments"))
+
+
 def my_marks_totals(db: Gradebook) -> DataFrame:
     """Total of the rounded weighted marks plus the final mark, per enrolled course."""
     total = F.coalesce("rounded_points", F.lit(0)) + F.coalesce(to_points(F.col("final_mark")), F.lit(0))
