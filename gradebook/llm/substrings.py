@@ -66,10 +66,8 @@ def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     hashed = rows.withColumn("hash", F.xxhash64("doc", "tie"))
     kind = docs.schema[id_col].dataType.simpleString()
     touched = hashed.mapInArrow(_sifted(bits, True), f"id {kind}, doc bigint, tie bigint, text string")
-    others = hashed.mapInArrow(_sifted(bits, False), f"id {kind}, doc bigint, tie bigint, text string")
-    nothing = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
     return _cut(touched.join(spans, ["doc", "tie"], "left").select("id", "text", "spans"), id_col).unionByName(
-        _cut(others.select("id", "text", nothing), id_col))
+        _cut(hashed.select("id", "text", "hash"), id_col, bits))
 
 
 def _sums(data: np.ndarray, table: np.ndarray, base: np.uint64) -> np.ndarray:
@@ -296,17 +294,23 @@ def _sifted(bits: np.ndarray, inside: bool):
     return sift
 
 
-def _cut(rows: DataFrame, id_col: str) -> DataFrame:
-    """The result rows: spans united and cut out."""
+def _cut(rows: DataFrame, id_col: str, bits: np.ndarray | None = None) -> DataFrame:
+    """The result rows: spans united and cut out.
+
+    With ``bits`` those of the rows whose ``hash`` has no counterpart; they have no spans. They are sifted by the worker that
+    cuts them, as each step of its own would be a second worker for each running task.
+    """
     kind = rows.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if bits is not None:
+            batches = _sifted(bits, False)(batches)
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             size, removed, spans, kept = [], [], [], []
-            starts = batch.column("spans")
+            starts = batch.column("spans") if bits is None else None
             for i, text in enumerate(batch.column("text").cast(pa.binary())):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                found = starts[i].values
+                found = starts[i].values if starts is not None else None
                 deep = np.zeros(len(data) + 1, np.int32)
                 if found is not None:
                     np.add.at(deep, found.field("start").to_numpy(), 1)
